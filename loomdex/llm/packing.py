@@ -173,12 +173,12 @@ def _cut(stack: list[list[int]], n: int) -> list[list[int]]:
     return out
 
 
-def plan(hist: dict[int, int], capacity: int = CAPACITY, groups: int = 64, small: int | None = None) -> list[Run]:
+def plan(hist: dict[int, int], capacity: int = CAPACITY, groups: int = 128, small: int | None = None) -> list[Run]:
     """The better of linear grouping and plain best fit, both in decreasing order."""
     plain = OpenRuns(capacity)
     for n in sorted(hist, reverse=True):
         plain.best_fit(n, hist[n])
-    both = [group_plan(hist, capacity, groups, capacity // 8 if small is None else small), plain.all()]
+    both = [group_plan(hist, capacity, groups, capacity // 4 if small is None else small), plain.all()]
     return min(both, key=lambda runs: sum(c for c, _ in runs))
 
 
@@ -221,7 +221,7 @@ def pieces_of(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str =
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, groups: int = 64) -> DataFrame:
+def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, groups: int = 128) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece holding id 0. Repeated rows and null doc_ids are packed
