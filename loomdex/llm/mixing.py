@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from loomdex.runtime import stash
 
-BLANKS = r"[\s]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Steps of the posteriors' grid.
@@ -29,34 +28,29 @@ GRID = 32
 TARGETS = {"q1t0": 0.90, "q1t1": 0.05, "q0t0": 0.04, "q0t1": 0.01}
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
+def with_features(documents: DataFrame) -> DataFrame:
+    """``documents`` with n_tokens and __bag: distinct words in lower case, and shape words that start with a blank.
 
-
-def features(text: Column) -> Column:
-    """Distinct words in lower case, and shape words that no text can hold (they start with a blank)."""
-    t = F.coalesce(text, F.lit(""))
-    own = words(t)
-    n = F.greatest(F.length(t), F.lit(1))
+    Each step is a projection of its own, so that no step is evaluated twice; no lambdas here.
+    """
+    t = F.coalesce(F.col("text"), F.lit(""))
 
     def share(chars: str) -> Column:
-        return (n - F.length(F.translate(t, chars, ""))) / n
+        return (F.col("__n") - F.length(F.translate(t, chars, ""))) / F.col("__n")
 
     def bin_(name: str, x: Column, edges: list[float]) -> Column:
         return F.concat(F.lit(f" {name}"), sum((F.when(x > e, 1).otherwise(0) for e in edges), F.lit(0)).cast("string"))
 
-    low = F.transform(own, lambda w: F.lower(w))
-    distinct = F.array_distinct(low)
+    out = documents.withColumns({"__n": F.greatest(F.length(t), F.lit(1)), "__w": F.split(F.lower(F.trim(t)), r"\s+")})
+    out = out.withColumns({"__d": F.array_distinct("__w"), "n_tokens": F.when(F.col("__w")[0] == "", F.size("__w") - 1).otherwise(F.size("__w")).cast("long"), "__c": share(UPPER), "__m": share(MARKS)})
+    out = out.withColumns({"__u": F.size("__d") / F.size("__w"), "__z": F.log2(F.col("n_tokens") + F.lit(1.0))})
     shape = F.array(
-        bin_("capitals", share(UPPER), [0.05, 0.15, 0.4]),
-        bin_("marks", share(MARKS), [0.02, 0.05, 0.1, 0.2]),
+        bin_("capitals", F.col("__c"), [0.05, 0.15, 0.4]),
+        bin_("marks", F.col("__m"), [0.02, 0.05, 0.1, 0.2]),
         # long texts repeat words anyway, so the two go together
-        F.concat(
-            bin_("distinct", F.size(distinct) / F.greatest(F.size(own), F.lit(1)), [0.05, 0.15, 0.3, 0.45, 0.6]),
-            bin_("size", F.log2(F.size(own) + F.lit(1.0)), [3.0, 5.0, 7.0, 9.0]),
-        ),
+        F.concat(bin_("distinct", F.col("__u"), [0.05, 0.15, 0.3, 0.45, 0.6]), bin_("size", F.col("__z"), [3.0, 5.0, 7.0, 9.0])),
     )
-    return F.struct(F.size(own).cast("long").alias("n_tokens"), F.concat(distinct, shape).alias("bag"))
+    return out.withColumn("__bag", F.concat("__d", shape)).drop("__n", "__w", "__d", "__c", "__m", "__u", "__z")
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -82,9 +76,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int, top: int) -> tuple
     chosen = known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
     chosen = stash(chosen, "labelled")
     # at most about ``sample`` ids
-    bags = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", F.posexplode(features(F.col("text"))["bag"]).alias("i", "f"))
+    bags = with_features(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", F.explode("__bag").alias("f"))
     per = stash(bags.groupBy("domain", "f").agg(F.count("*").alias("c")), "features")
-    docs = {r[0]: r[1] for r in bags.where("i = 0").groupBy("domain").count().collect()}
+    # every document has one word for its marks
+    docs = {r[0]: r[1] for r in per.where(F.col("f").startswith(" marks")).groupBy("domain").agg(F.sum("c")).collect()}
     if not docs:
         return {}, {}
     total = sum(docs.values())
@@ -109,19 +104,18 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int, top: int) -> tuple
 
 def posteriors(documents: DataFrame, base: dict[str, float], present: dict[str, dict[str, float]], domains: list[str]) -> DataFrame:
     """``documents`` with n_tokens and post, an array in the order of ``domains``."""
-    own = documents.withColumn("__f", features(F.col("text")))
-    out = own.withColumn("n_tokens", F.col("__f.n_tokens"))
+    out = with_features(documents)
     if not base:
-        return out.withColumn("post", F.array(*[F.lit(1.0 / len(domains))] * len(domains))).drop("__f")
+        return out.withColumn("post", F.array(*[F.lit(1.0 / len(domains))] * len(domains))).drop("__bag")
     names = F.array(*[F.lit(f) for f in present])
     weights = F.create_map(*[x for f, w in present.items() for x in (F.lit(f), F.array(*[F.lit(w[d]) if d in w else F.lit(0.0) for d in domains]))])
     start = F.array(*[F.lit(base[d]) if d in base else F.lit(-1e9) for d in domains])
-    hit = F.array_intersect(F.col("__f.bag"), names)
+    hit = F.array_intersect("__bag", names)
     log = F.aggregate(hit, start, lambda acc, f: F.zip_with(acc, F.element_at(weights, f), lambda a, b: a + b))
     out = out.withColumn("__log", log)
     lifted = F.transform("__log", lambda x: F.exp(x - F.array_max("__log")))
     out = out.withColumn("__e", lifted)
-    return out.withColumn("post", F.transform("__e", lambda x: x / F.aggregate("__e", F.lit(0.0), lambda a, b: a + b))).drop("__f", "__log", "__e")
+    return out.withColumn("post", F.transform("__e", lambda x: x / F.aggregate("__e", F.lit(0.0), lambda a, b: a + b))).drop("__bag", "__log", "__e")
 
 
 def cells_of(soft: DataFrame) -> DataFrame:
@@ -144,42 +138,46 @@ def solve(cells: DataFrame, targets: list[float], steps: int, ridge: float) -> D
     """(cell, rate) by projected gradient; sums over domains are all that reaches the driver."""
     d = len(targets)
     post = F.array(*[F.coalesce(F.try_divide(F.col(f"s{i}"), F.col("tokens")), F.lit(0.0)) for i in range(d)])
-    table = stash(cells.select("cell", "tokens", post.alias("post")), "cells")
-    mass = [F.col("tokens") * F.col("post")[i] for i in range(d)]
-    first = table.agg(F.sum("tokens").alias("all"), *[F.sum(mass[i] * F.col("post")[j]).alias(f"m{i}_{j}") for i in range(d) for j in range(d)]).first()
-    total = first["all"] or 0.0
+    table = cells.select("cell", "tokens", post.alias("post"))
+    # a cell per point of the grid at most: few enough for one file
+    table = stash(table.coalesce(1), "cells")
+    # built as SQL text: a step has many small expressions
+    pairs = [f"sum(tokens * post[{i}] * post[{j}]) AS m{i}_{j}" for i in range(d) for j in range(d)]
+    first = table.selectExpr("sum(tokens) AS total", *pairs).first()
+    total = first["total"] or 0.0
     if total <= 0:
         return table.select("cell", F.lit(1.0).alias("rate"))
     # the curvature of the form scaled by tokens is at most its largest row sum
     eta = 1.0 / (max(sum(first[f"m{i}_{j}"] for j in range(d)) for i in range(d)) / total + ridge)
     done: list[list[float]] = []
     for _ in range(steps):
-        got = table.select("tokens", "post", rate(done, eta, ridge, d).alias("r")).agg(*[F.sum(F.col("r") * mass[i]).alias(f"t{i}") for i in range(d)]).first()
+        at = table.selectExpr("tokens", "post", f"{rate(done, eta, ridge, d)}.y AS r")
+        got = at.selectExpr(*[f"sum(r * tokens * post[{i}]) AS t{i}" for i in range(d)]).first()
         gap = [got[f"t{i}"] / total - targets[i] for i in range(d)]
         if done and max(abs(a - b) for a, b in zip(gap, done[-1])) < 1e-6:
             break
         done.append(gap)
-    return table.select("cell", rate(done, eta, ridge, d).alias("rate"))
-
+    return table.selectExpr("cell", f"{rate(done, eta, ridge, d)}.r AS rate")
 
-def rate(steps: list[list[float]], eta: float, ridge: float, d: int) -> Column:
-    """The rate after the given steps, from 1. The step in r is scaled by 1/tokens, so it needs the posterior only."""
-    if not steps:
-        return F.lit(1.0)
-    gaps = F.array(*[F.array(*[F.lit(x) for x in g]) for g in steps])
 
-    def step(r: Column, g: Column) -> Column:
-        slope = F.lit(ridge) * (r - 1.0)
-        for i in range(d):
-            slope = slope + F.col("post")[i] * g[i]
-        return F.greatest(F.lit(0.0), r - F.lit(eta) * slope)
+def rate(steps: list[list[float]], eta: float, ridge: float, d: int) -> str:
+    """SQL for rate r, and point y of the next gradient, after the given steps from 1 (projected gradient with momentum).
 
-    return F.aggregate(gaps, F.lit(1.0), step)
+    The step in r is scaled by 1/tokens, so it needs the posterior only.
+    """
+    start = "named_struct('r', 1.0D, 'y', 1.0D, 't', 1.0D)"
+    if not steps:
+        return start
+    gaps = ", ".join("array(" + ", ".join(f"{x!r}D" for x in g) + ")" for g in steps)
+    slope = " + ".join([f"{ridge!r}D * (a.y - 1.0D)", *[f"post[{i}] * g[{i}]" for i in range(d)]])
+    r = f"greatest(0.0D, a.y - {eta!r}D * ({slope}))"
+    t = "(1.0D + sqrt(1.0D + 4.0D * a.t * a.t)) / 2.0D"
+    return f"aggregate(array({gaps}), {start}, (a, g) -> named_struct('r', {r}, 'y', {r} + (a.t - 1.0D) / ({t}) * ({r} - a.r), 't', {t}))"
 
 
 def mix(
     documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0,
-    sample: int = 6000, top: int = 96, steps: int = 120, ridge: float = 1e-3,
+    sample: int = 6000, top: int = 96, steps: int = 40, ridge: float = 1e-3,
 ) -> DataFrame:
     """``documents`` with n_tokens, post, rate and copies.
 
