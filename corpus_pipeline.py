@@ -1,8 +1,49 @@
-"""Training-corpus pipeline over ``documents``."""
-STAGES = []
+"""Training-corpus pipeline over ``documents``: quality, near-copies, mixing, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomdex.llm import kneser_ney, mixing, packing, simhash
+from loomdex.runtime import stash
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids`` (column ``id``); a null id matches a null id."""
+    return docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the Kneser-Ney classifier accepts."""
+    judged = kneser_ney.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _keep(docs, judged.where("accepted").select(F.col("doc_id").alias("id")))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: that with the smallest doc_id, once if its row is repeated."""
+    found = simhash.simhash_components(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"))
+    return _keep(docs, first).dropDuplicates(["doc_id"])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the rates say that bring domain totals to their targets."""
+    return mixing.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048 ids."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("mixing", mix), ("packing", pack)]
+#: Kneser-Ney scores, components and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
