@@ -197,7 +197,9 @@ def mix(
     # cells are bounded by the grid; the check holds the bound
     small = found.count() <= 200_000
     u = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    out = soft.join(F.broadcast(found) if small else found, "cell").drop("cell")
+    # null-safe: an inferred "cell is not null" would be pushed below the scores and evaluate them many times over
+    own = found.select(F.col("cell").alias("__cell"), "rate")
+    out = soft.join(F.broadcast(own) if small else own, F.col("cell").eqNullSafe(F.col("__cell"))).drop("cell", "__cell")
     return out.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 
 
