@@ -75,8 +75,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int, top: int) -> tuple
     part = min(1.0, sample / max(1, n))
     chosen = known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
     chosen = stash(chosen, "labelled")
-    # at most about ``sample`` ids
-    bags = with_features(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", F.explode("__bag").alias("f"))
+    # at most about ``sample`` ids. explode_outer: explode would infer a filter on __bag and evaluate it again below
+    bags = with_features(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", F.explode_outer("__bag").alias("f"))
     per = stash(bags.groupBy("domain", "f").agg(F.count("*").alias("c")), "features")
     # every document has one word for its marks
     docs = {r[0]: r[1] for r in per.where(F.col("f").startswith(" marks")).groupBy("domain").agg(F.sum("c")).collect()}
