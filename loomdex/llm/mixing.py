@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.llm.literals import literal_table
 from loomdex.runtime import stash
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -83,7 +84,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int, top: int) -> tuple
     if not docs:
         return {}, {}
     total = sum(docs.values())
-    sizes = spark.createDataFrame(list(docs.items()), "domain string, docs long")
+    sizes = literal_table(spark, list(docs.items()), domain="string", docs="long")
     # contrast: how far the share of a domain's documents with the feature is from that of all others
     rates = per.join(F.broadcast(sizes), "domain")
     everywhere = per.groupBy("f").agg(F.sum("c").alias("all"))

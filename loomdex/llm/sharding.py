@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomdex.llm.literals import literal_table
+
 MAX_CELLS = 4096
 MAX_RANGES = 1024
 ROWS_A_CELL = 50_000
@@ -77,9 +79,8 @@ def shuffle_into_shards(df: DataFrame, key: str, shards: int, seed: int = 7, pay
     cell = F.pmod(F.xxhash64(F.lit(seed + 2), F.col(key)), F.lit(n_cells)).cast("int")
     seen = {r[0]: r[1] for r in df.groupBy(cell.alias("c")).count().collect()}
     matrix = communication_matrix(np.array([seen.get(c, 0) for c in range(n_cells)]), shards, seed)
-    spark = df.sparkSession
-    bounds = spark.createDataFrame(
-        [(c, [int(x) for x in np.cumsum(matrix[c])]) for c in range(n_cells)], "__cell int, __upto array<bigint>"
+    bounds = literal_table(
+        df.sparkSession, [(c, [int(x) for x in np.cumsum(matrix[c])]) for c in range(n_cells)], __cell="int", __upto="array<bigint>"
     )
     local = keyed.withColumn("__rn", F.row_number().over(W.partitionBy("__cell").orderBy("__first", *([payload] if payload else []))))
     # at most MAX_CELLS rows of ``shards`` numbers: the bound that allows the broadcast

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.llm.literals import literal_table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Filters of at most so many 64-bit words become literals in the plan (8 MB together at most).
 MAX_WORDS = 1 << 20
@@ -138,7 +140,7 @@ def judge_urls(pages: DataFrame, rules=RULES, otherwise: str = "allow") -> DataF
     levels = {}
     for verdict in ("block", "allow"):
         own = [(h + p,) for h, p, v in rules if v == verdict]
-        levels[verdict] = build_cascade(spark.createDataFrame(own, "k string"), universe)
+        levels[verdict] = build_cascade(literal_table(spark, own, k="string"), universe)
     universe.unpersist()
     tagged = F.transform("c", lambda x: F.struct(
         F.length(x["k"]).alias("len"), x["k"].alias("k"),
