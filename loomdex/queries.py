@@ -19,6 +19,7 @@ from loomdex.operators.ranking import global_rank, percentage_by_top, phrase_tie
 from loomdex.operators.vector import VectorIndex
 from loomdex.plans import intent, rag
 from loomdex.plans.engine import HybridEngine, with_payload
+from loomdex.runtime import reach
 from loomdex.sources import posts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +43,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
