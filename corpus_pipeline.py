@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm import kneser_ney, mixing, packing, simhash
-from loomdex.runtime import stash
+from loomdex.runtime import reach, stash
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -16,12 +16,14 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney classifier accepts."""
+    reach(spark)
     judged = kneser_ney.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _keep(docs, judged.where("accepted").select(F.col("doc_id").alias("id")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: that with the smallest doc_id, once if its row is repeated."""
+    reach(spark)
     found = simhash.simhash_components(docs)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"))
     return _keep(docs, first).dropDuplicates(["doc_id"])
@@ -29,11 +31,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the rates say that bring domain totals to their targets."""
+    reach(spark)
     return mixing.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids."""
+    reach(spark)
     return packing.pack_documents(docs)
 
 

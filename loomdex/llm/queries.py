@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomdex.llm import embed_dedup, kneser_ney, licenses, media, mixing, packing, sharding, simhash, url_cascade, warc
+from loomdex.runtime import reach
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
