@@ -7,14 +7,15 @@ capitals, of marks, and of distinct words, in bins). Rates r minimise
 
     sum over domains ((expected tokens - target) / total)^2 + ridge * mean over tokens (r - 1)^2,  r >= 0
 
-by projected gradient over cells of like posteriors. The driver holds one number per domain and step;
-cells find their rate by replaying the steps, so nothing but sums moves. Everything on rows is DataFrame functions.
+by projected gradient over cells of like posteriors. The driver holds one multiplier per domain, and a document's
+rate is a function of its posterior and these, so nothing but sums moves. Everything on rows is DataFrame functions.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Steps of the posteriors' grid.
 GRID = 32
 #: Shares of the expected tokens that each domain shall have.
-TARGETS = {"q1t0": 0.90, "q1t1": 0.05, "q0t0": 0.04, "q0t1": 0.01}
+TARGETS = {"q1t0": 0.80, "q1t1": 0.15, "q0t0": 0.04, "q0t1": 0.01}
 
 
 def with_features(documents: DataFrame) -> DataFrame:
@@ -122,8 +123,8 @@ def posteriors(documents: DataFrame, base: dict[str, float], present: dict[str,
 def cells_of(soft: DataFrame) -> DataFrame:
     """(cell, tokens, post): rows of like posterior (to 1/GRID) together, with their tokens and mean posterior.
 
-    The objective treats rows of equal posterior alike, so one rate per cell loses nothing but the grid;
-    the mean posterior keeps expected totals exact. Cells are bounded by the grid, not by rows.
+    The objective treats rows of equal posterior alike, and rates are linear where they aren't zero, so the cells' mean
+    posteriors lose next to nothing. Cells are bounded by the grid, not by rows.
     """
     w = F.greatest(F.col("n_tokens"), F.lit(0)).cast("double")
     return soft.select("cell", "n_tokens", "post").groupBy("cell").agg(
@@ -135,56 +136,67 @@ def _width(soft: DataFrame) -> int:
     return int(soft.schema["post"].metadata["width"])
 
 
-def solve(cells: DataFrame, targets: list[float], steps: int, ridge: float) -> DataFrame:
-    """(cell, rate) by projected gradient; sums over domains are all that reaches the driver."""
+def solve(cells: DataFrame, targets: list[float], steps: int, ridge: float) -> list[float]:
+    """The multipliers whose ``rate_of`` a posterior minimises the objective.
+
+    The objective's gradient lies in the span of the posteriors and of r - 1, so from r = 1 on every iterate is
+    the projection of 1 minus a combination of posteriors. A step moves that combination along the gradient, scaled by
+    the inverse Gram matrix of the cells that aren't at zero, halved until the convex dual falls. One
+    distributed aggregation a step; 1 + d + d * d sums are all that reaches the driver.
+    """
     d = len(targets)
     post = F.array(*[F.coalesce(F.try_divide(F.col(f"s{i}"), F.col("tokens")), F.lit(0.0)) for i in range(d)])
-    table = cells.select("cell", "tokens", post.alias("post"))
     # a cell per point of the grid at most: few enough for one file
-    table = stash(table.coalesce(1), "cells")
-    # built as SQL text: a step has many small expressions
-    pairs = [f"sum(tokens * post[{i}] * post[{j}]) AS m{i}_{j}" for i in range(d) for j in range(d)]
-    first = table.selectExpr("sum(tokens) AS total", *pairs).first()
-    total = first["total"] or 0.0
+    table = stash(cells.select("tokens", post.alias("post")).coalesce(1), "cells")
+    total = table.agg(F.sum("tokens")).first()[0] or 0.0
     if total <= 0:
-        return table.select("cell", F.lit(1.0).alias("rate"))
-    # the curvature of the form scaled by tokens is at most its largest row sum
-    eta = 1.0 / (max(sum(first[f"m{i}_{j}"] for j in range(d)) for i in range(d)) / total + ridge)
-    done: list[list[float]] = []
+        return [0.0] * d
+    goal = np.array(targets)
+
+    def sums(lam: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        at = table.select("tokens", "post", rate_of(F.col("post"), lam.tolist()).alias("r"))
+        free = F.when(F.col("r") > 0, F.col("tokens")).otherwise(F.lit(0.0))
+        p = [F.col("post")[i] for i in range(d)]
+        r = at.agg(
+            F.sum(F.col("tokens") * F.col("r") * F.col("r")), *[F.sum(F.col("tokens") * F.col("r") * p[i]) for i in range(d)],
+            *[F.sum(free * p[i] * p[j]) for i in range(d) for j in range(d)],
+        ).first()
+        x = np.array(r, float) / total
+        slope = ridge * lam - (x[1 : 1 + d] - goal)
+        return ridge / 2 * lam @ lam + x[0] / 2 + goal @ lam, slope, x[1 + d :].reshape(d, d) + ridge * np.eye(d)
+
+    lam = np.zeros(d)
+    value, slope, curve = sums(lam)
     for _ in range(steps):
-        at = table.selectExpr("tokens", "post", f"{rate(done, eta, ridge, d)}.y AS r")
-        got = at.selectExpr(*[f"sum(r * tokens * post[{i}]) AS t{i}" for i in range(d)]).first()
-        gap = [got[f"t{i}"] / total - targets[i] for i in range(d)]
-        if done and max(abs(a - b) for a, b in zip(gap, done[-1])) < 1e-6:
+        if np.abs(slope).max() < 1e-6:
             break
-        done.append(gap)
-    return table.selectExpr("cell", f"{rate(done, eta, ridge, d)}.r AS rate")
-
+        move, share = np.linalg.solve(curve, slope), 1.0
+        while share > 1e-4:
+            there = lam - share * move
+            got = sums(there)
+            if got[0] <= value - 1e-4 * share * float(slope @ move):
+                break
+            share /= 2
+        else:
+            break
+        lam, (value, slope, curve) = there, got
+    return lam.tolist()
 
-def rate(steps: list[list[float]], eta: float, ridge: float, d: int) -> str:
-    """SQL for rate r, and point y of the next gradient, after the given steps from 1 (projected gradient with momentum).
 
-    The step in r is scaled by 1/tokens, so it needs the posterior only.
-    """
-    start = "named_struct('r', 1.0D, 'y', 1.0D, 't', 1.0D)"
-    if not steps:
-        return start
-    gaps = ", ".join("array(" + ", ".join(f"{x!r}D" for x in g) + ")" for g in steps)
-    slope = " + ".join([f"{ridge!r}D * (a.y - 1.0D)", *[f"post[{i}] * g[{i}]" for i in range(d)]])
-    r = f"greatest(0.0D, a.y - {eta!r}D * ({slope}))"
-    t = "(1.0D + sqrt(1.0D + 4.0D * a.t * a.t)) / 2.0D"
-    return f"aggregate(array({gaps}), {start}, (a, g) -> named_struct('r', {r}, 'y', {r} + (a.t - 1.0D) / ({t}) * ({r} - a.r), 't', {t}))"
+def rate_of(post: Column, lam: list[float]) -> Column:
+    """max(0, 1 - lam . post)."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(x) * post[i] for i, x in enumerate(lam)), F.lit(0.0)))
 
 
 def mix(
     documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0,
-    sample: int = 6000, top: int = 96, steps: int = 40, ridge: float = 1e-3,
+    sample: int = 6000, top: int = 96, steps: int = 40, ridge: float = 1e-4,
 ) -> DataFrame:
     """``documents`` with n_tokens, post, rate and copies.
 
     ``targets`` are shares, scaled to ``budget`` times all tokens. copies is floor(rate) plus one with
     the probability of the fraction, decided by a hash of doc_id. Null and empty texts have no tokens and
-    get the rate of their posterior's cell. Labelled classes outside ``targets`` get target 0. Without labels all
+    get the rate of their posterior. Labelled classes outside ``targets`` get target 0. Without labels all
     posteriors are equal. An empty table gives an empty result.
     """
     base, present = fit(documents, labels, sample, top)
@@ -194,13 +206,9 @@ def mix(
     key = F.transform("post", lambda x: F.round(x * GRID).cast("int"))
     soft = posteriors(documents, base, present, domains)
     soft = soft.withColumn("post", F.col("post").alias("post", metadata={"width": len(domains)})).withColumn("cell", key)
-    found = stash(solve(cells_of(soft), goal, steps, ridge), "rates")
-    # cells are bounded by the grid; the check holds the bound
-    small = found.count() <= 200_000
+    lam = solve(cells_of(soft), goal, steps, ridge)
+    out = soft.drop("cell").withColumn("rate", rate_of(F.col("post"), lam))
     u = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    # null-safe: an inferred "cell is not null" would be pushed below the scores and evaluate them many times over
-    own = found.select(F.col("cell").alias("__cell"), "rate")
-    out = soft.join(F.broadcast(own) if small else own, F.col("cell").eqNullSafe(F.col("__cell"))).drop("cell", "__cell")
     return out.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 
 
