@@ -99,7 +99,8 @@ def links(fps: DataFrame, bucket: int = 512) -> DataFrame:
     if some_hot:
         into = probes.join(hot, ["seg", "val"])
         # own half hot: up to two bits of the other half; a flip into a hot half: one bit of the other
-        masks = [F.array(*[F.lit(m) for m in _single(32 * (1 - s)) + _pairs(32 * (1 - s))]) for s in (0, 1)]
+        # (segment 0 is the upper half, so its other half starts at bit 0)
+        masks = [F.array(*[F.lit(m) for m in _single(lo) + _pairs(lo)]) for lo in (0, 32)]
         ball = F.when(F.col("seg") == 0, masks[0]).otherwise(masks[1])
         own = into.where(~F.col("flip")).select("fp", F.explode(F.filter(F.transform(ball, lambda m: F.col("fp").bitwiseXOR(m)), lambda x: x > F.col("fp"))).alias("v"))
         side = F.transform(F.array(*[F.lit(m) for m in _single(0)]), lambda m: F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(m).bitwiseOR(F.call_function("shiftleft", F.col("val"), F.lit(32))))

@@ -131,7 +131,7 @@ def judge_urls(pages: DataFrame, rules=RULES, otherwise: str = "allow") -> DataF
     rule. Repeated pages are judged alike; empty tables give an empty result.
     """
     spark = pages.sparkSession
-    lengths = sorted({len(p) for _, p, _ in rules})
+    lengths = sorted({len(p) for _, p, _ in rules}) or [0]
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     keyed = parts.withColumn("c", candidates(F.col("host"), F.col("path"), lengths))
