@@ -120,7 +120,7 @@ def posteriors(documents: DataFrame, base: dict[str, float], present: dict[str,
     return out.withColumn("post", F.transform("__e", lambda x: x / F.aggregate("__e", F.lit(0.0), lambda a, b: a + b))).drop("__bag", "__log", "__e")
 
 
-def cells_of(soft: DataFrame) -> DataFrame:
+def cells_of(soft: DataFrame, width: int) -> DataFrame:
     """(cell, tokens, post): rows of like posterior (to 1/GRID) together, with their tokens and mean posterior.
 
     The objective treats rows of equal posterior alike, and rates are linear where they aren't zero, so the cells' mean
@@ -128,14 +128,10 @@ def cells_of(soft: DataFrame) -> DataFrame:
     """
     w = F.greatest(F.col("n_tokens"), F.lit(0)).cast("double")
     return soft.select("cell", "n_tokens", "post").groupBy("cell").agg(
-        F.sum(w).alias("tokens"), F.sum(F.lit(1.0)).alias("rows"), *[F.sum(w * F.col("post")[i]).alias(f"s{i}") for i in range(_width(soft))]
+        F.sum(w).alias("tokens"), F.sum(F.lit(1.0)).alias("rows"), *[F.sum(w * F.col("post")[i]).alias(f"s{i}") for i in range(width)]
     )
 
 
-def _width(soft: DataFrame) -> int:
-    return int(soft.schema["post"].metadata["width"])
-
-
 def solve(cells: DataFrame, targets: list[float], steps: int, ridge: float) -> list[float]:
     """The multipliers whose ``rate_of`` a posterior minimises the objective.
 
@@ -190,14 +186,15 @@ def rate_of(post: Column, lam: list[float]) -> Column:
 
 def mix(
     documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0,
-    sample: int = 6000, top: int = 96, steps: int = 40, ridge: float = 1e-4,
+    sample: int = 6000, top: int = 96, steps: int = 40, ridge: float = 1e-4, keep_text: bool = True,
 ) -> DataFrame:
     """``documents`` with n_tokens, post, rate and copies.
 
     ``targets`` are shares, scaled to ``budget`` times all tokens. copies is floor(rate) plus one with
     the probability of the fraction, decided by a hash of doc_id. Null and empty texts have no tokens and
     get the rate of their posterior. Labelled classes outside ``targets`` get target 0. Without labels all
-    posteriors are equal. An empty table gives an empty result.
+    posteriors are equal. An empty table gives an empty result. Without ``keep_text`` the scores are written once and
+    the texts read once; with it, texts are scored a second time rather than shuffled or written.
     """
     base, present = fit(documents, labels, sample, top)
     domains = sorted({*targets, *base})
@@ -205,8 +202,10 @@ def mix(
     goal = [budget * targets.get(d, 0.0) / whole for d in domains]
     key = F.transform("post", lambda x: F.round(x * GRID).cast("int"))
     soft = posteriors(documents, base, present, domains)
-    soft = soft.withColumn("post", F.col("post").alias("post", metadata={"width": len(domains)})).withColumn("cell", key)
-    lam = solve(cells_of(soft), goal, steps, ridge)
+    soft = soft.withColumn("cell", key)
+    if not keep_text:
+        soft = stash(soft.drop("text"), "posteriors")
+    lam = solve(cells_of(soft, len(domains)), goal, steps, ridge)
     out = soft.drop("cell").withColumn("rate", rate_of(F.col("post"), lam))
     u = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 24)) / F.lit(float(1 << 24))
     return out.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
@@ -215,7 +214,7 @@ def mix(
 def rates(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, n_tokens, domain posteriors by name, rate, copies for every document."""
     targets = options.get("targets", TARGETS)
-    out = mix(documents, labels, **options)
+    out = mix(documents.select("doc_id", "text"), labels, keep_text=False, **options)
     names = sorted(targets)
     return out.select("doc_id", "n_tokens", *[F.col("post")[i].alias(f"p_{d}") for i, d in enumerate(names)], "rate", "copies")
 
