@@ -221,5 +221,6 @@ def rates(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def resample(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Each document ``copies`` times; the columns are those of ``documents``."""
-    out = mix(documents, labels, **options).where("copies > 0")
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    # a filter on copies, or the one that explode infers, would be pushed below the scores and evaluate them many times over
+    out = mix(documents, labels, **options).withColumn("__i", F.explode_outer(F.array_repeat(F.lit(1), F.col("copies"))))
+    return out.where("__i is not null").select(*[F.col(f"`{c}`") for c in documents.columns])
