@@ -41,6 +41,31 @@ def overlap(left: list[str], right: list[str]) -> float:
     return sum((Counter(left) & Counter(right)).values()) / max(len(left), len(right))
 
 
+def window_overlaps(words: list[list[str]], window: int) -> list[float]:
+    """``overlap`` of the ``window`` segments before and after each inner border; every word enters and leaves each side once."""
+    sides = Counter(), Counter(w for ws in words[:window] for w in ws)
+    sizes, common, out = [0, sides[1].total()], 0, []
+
+    def put(side: int, ws: list[str], by: int) -> None:
+        nonlocal common
+        own, other = sides[side], sides[1 - side]
+        for w in ws:
+            # the smaller count decides: it moves if this side's does and is not above the other's
+            common += (own[w] < other[w]) if by > 0 else -(own[w] <= other[w])
+            own[w] += by
+        sizes[side] += by * len(ws)
+
+    for i in range(1, len(words)):
+        put(1, words[i - 1], -1)
+        put(0, words[i - 1], 1)
+        if i - 1 + window < len(words):
+            put(1, words[i - 1 + window], 1)
+        if i - 1 - window >= 0:
+            put(0, words[i - 1 - window], -1)
+        out.append(common / max(sizes) if min(sizes) else 0.0)
+    return out
+
+
 def confidence(lexical: float, similarity: float | None, gap: float, c: ChunkerConfig) -> float:
     x = c.lexical_weight * (1 - lexical) + c.embedding_weight * (1 - (similarity or 0.0)) + c.gap_weight * gap
     return float(min(1.0, max(0.0, x)))
@@ -65,10 +90,7 @@ def borders(text: str, c: ChunkerConfig = ChunkerConfig(), embed: Embed | None =
     spans = [(m.start(), m.end(), m.group().strip()) for m in SEGMENT.finditer(text)]
     words = [[w for w in re.findall(r"\b\w+\b", s.lower()) if w not in stopwords] for _, _, s in spans]
     found = []
-    for i in range(1, len(spans)):
-        left = [w for ws in words[max(0, i - c.window) : i] for w in ws]
-        right = [w for ws in words[i : i + c.window] for w in ws]
-        o = overlap(left, right)
+    for i, o in enumerate(window_overlaps(words, c.window), 1):
         gap = float("\n" * c.gap_lines in text[spans[i - 1][1] : spans[i][0]])
         if o > c.overlap_threshold or gap:
             found.append((i, o, gap))
