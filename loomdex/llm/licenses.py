@@ -1,8 +1,8 @@
 """Licence scan with a positional index of rare words.
 
 Templates are short notices. The document frequency of every template word is counted over the
-whole corpus; each template then posts its ``rare`` words of highest IDF with their positions. A file looks
-up the ``look`` words of highest IDF among those it has, every meeting of a place in the file and a
+whole corpus; each template then posts its ``rare`` words of highest IDF with their positions. A file
+looks up every posted word it has (at most templates x ``rare``), every meeting of a place in the file and a
 posting votes for a relative position of a template, and a relative position with enough votes
 is verified: the template's mandatory phrases must stand where it says, give or take ``SLACK`` words.
 
@@ -60,11 +60,10 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Index:
-    """Postings of rare words: word -> ((template, position), ...); words in order of falling IDF."""
+    """Postings of rare words: word -> ((template, position), ...)."""
 
     templates: tuple
     postings: dict[bytes, tuple[tuple[int, int], ...]]
-    rank: dict[bytes, int]
     sizes: tuple[int, ...]  # posted words of each template
 
 
@@ -86,7 +85,7 @@ def build_index(df: dict[bytes, int], n: int, rare: int = 8, templates=TEMPLATES
         for at, w in enumerate(words):
             if w in chosen:
                 postings.setdefault(w, []).append((t, at))
-    return Index(tuple(templates), {w: tuple(p) for w, p in postings.items()}, rank, tuple(sizes))
+    return Index(tuple(templates), {w: tuple(p) for w, p in postings.items()}, tuple(sizes))
 
 
 def places(flat: bytes, phrase: bytes) -> list[int]:
@@ -101,13 +100,13 @@ def places(flat: bytes, phrase: bytes) -> list[int]:
     return out
 
 
-def match_templates(words: list[bytes], flat: bytes, index: Index, look: int = 24, share: float = 0.6) -> dict[str, float]:
+def match_templates(words: list[bytes], flat: bytes, index: Index, share: float = 0.6) -> dict[str, float]:
     """label -> share of a template's words in place, for verified templates."""
     have = index.postings.keys() & set(words)
     if not have:
         return {}
     starts: dict[int, list[np.ndarray]] = {}  # of a template: the starts each word votes for
-    for w in sorted(have, key=index.rank.__getitem__)[:look]:
+    for w in have:
         here = np.array(places(flat, w))
         own: dict[int, list[np.ndarray]] = {}
         for t, at in index.postings[w]:

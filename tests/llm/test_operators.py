@@ -140,6 +140,18 @@ def test_every_template_finds_itself():
         assert label in got[5].split(",") and got[6] == 1.0
 
 
+@pytest.mark.parametrize("frequent", [(), ("license", "licensed", "under", "the", "of", "is", "this", "and", "in", "to", "cc", "by", "nc", "4", "0")])
+def test_a_file_of_all_notices_keeps_all_labels(frequent):
+    index = licenses.build_index({w.encode(): 900 for w in frequent}, 1000)
+    every = {label for label, _, _ in licenses.TEMPLATES}
+    notices = " filler ".join(notice for _, notice, _ in licenses.TEMPLATES)
+    assert set(licenses.scan(notices.encode(), index)[5].split(",")) == every
+    rare_words = " ".join(sorted(w.decode() for w in index.postings))
+    long = f"{rare_words} " * 50
+    for label, notice, _ in licenses.TEMPLATES:
+        assert label in licenses.scan(f"{long} gap {notice} gap {long}".encode(), index)[5].split(",")
+
+
 # 7: simhash
 
 
