@@ -1,13 +1,13 @@
 """Quality classifier: interpolated modified Kneser-Ney character n-grams of trusted text.
 
 One model per language. Trusted documents are those labelled with quality 1 (and never 0). Half of
-them at most train the models, as many as fit in ``train_chars`` characters a language (taken in the
-order of a hash of doc_id, whole texts); the others set the thresholds. A document is accepted
+the hashes of their doc_ids train the models, whole texts, however many there are; the
+others set the thresholds. A document is accepted
 if its perplexity is at most its language's ``quantile`` over those.
 
 Counts are sharded by n-gram in Spark: n-gram counts, continuation counts, context totals and
 lower orders meet in shuffled joins, which give each n-gram's probability and each context's
-weight. The joined table is bounded by ``train_chars`` and the ``ALPHABET`` symbols a language; while
+weight. The joined table grows with the trusted text up to the ``ALPHABET`` ** ``ORDER`` n-grams of a language; while
 it is below ``gather_bytes`` it goes to the scoring tasks as dense rows, beyond that
 documents' n-gram counts are joined with the shards (``score_by_joins``, the same numbers).
 """
@@ -83,14 +83,15 @@ def draw(key: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(F.lit(41), F.col(key)), F.lit(SPLIT)).cast("int")
 
 
-def training_cut(lengths: DataFrame, train_chars: int) -> DataFrame:
-    """(lang, upto): trusted documents of hash below ``upto`` train; at most half of the hashes, at most ``train_chars`` characters."""
-    per = lengths.groupBy("lang", draw().alias("h")).agg(F.sum("chars").alias("c"))
-    running = F.sum("c").over(W.partitionBy("lang").orderBy("h"))
-    # SPLIT rows a language
-    return per.withColumn("run", running).groupBy("lang").agg(
-        F.least(F.lit(SPLIT // 2), F.coalesce(F.min(F.when(F.col("run") > train_chars, F.col("h"))), F.lit(SPLIT))).alias("upto")
-    )
+def training_cut(trusted_texts: DataFrame) -> DataFrame:
+    """(lang, upto, since): trusted texts of hash below ``upto`` train, those of hash ``since`` or more set the threshold.
+
+    Both are the middle of the hashes, moved where that would leave one side without texts. If all texts
+    of a language have the same hash they do both.
+    """
+    ends = trusted_texts.groupBy("lang").agg(F.min(draw()).alias("lo"), F.max(draw()).alias("hi"))
+    middle = F.least(F.greatest(F.lit(SPLIT // 2), F.col("lo") + 1), F.greatest("hi", F.col("lo") + 1))
+    return ends.select("lang", middle.alias("upto"), F.least(middle, "hi").alias("since"))
 
 
 def train(texts: DataFrame, order: int = ORDER) -> Model:
@@ -246,7 +247,7 @@ def score_by_joins(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(
-    documents: DataFrame, labels: DataFrame, train_chars: int = 4_000_000, quantile: float = 0.99, gather_bytes: int = 256 << 20
+    documents: DataFrame, labels: DataFrame, quantile: float = 0.99, gather_bytes: int = 256 << 20
 ) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, accepted for every document.
 
@@ -256,22 +257,19 @@ def classify(
     """
     lang = language(documents)
     trusted = stash(trusted_ids(labels), "trusted")
-    lengths = documents.select("doc_id", lang.alias("lang"), F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(trusted, "doc_id")
-    cut = stash(training_cut(lengths, train_chars), "cut")
-    # one row a language; its text is bounded by train_chars
-    chosen = documents.select("doc_id", lang.alias("lang"), "text").where(draw() < SPLIT // 2)
-    inside = F.broadcast(cut) if cut.count() <= 10_000 else cut
-    sample = lengths.join(inside, "lang").where(draw() < F.col("upto")).select("doc_id").distinct()
-    sample = stash(sample, "sample")
-    small = sample.count() * 16 <= 32 << 20
-    texts = chosen.join(F.broadcast(sample) if small else sample, "doc_id", "left_semi").select("lang", "text")
+    told = documents.where("length(text) > 0").select("doc_id", lang.alias("lang")).join(trusted, "doc_id")
+    cut = stash(training_cut(told), "cut")
+    inside = F.broadcast(cut) if cut.count() <= 10_000 else cut  # one row a language
+    sample = stash(told.join(inside, "lang").where(draw() < F.col("upto")).select("doc_id", "lang").distinct(), "sample")
+    small = sample.count() * 32 <= 32 << 20
+    texts = documents.select("doc_id", lang.alias("lang"), "text").join(F.broadcast(sample) if small else sample, ["doc_id", "lang"], "left_semi").select("lang", "text")
     model = train(stash(texts, "train"))
     gathered = model.rows * ALPHABET * 4 <= gather_bytes
     scores = score_gathered(documents, model) if gathered else score_by_joins(documents, model)
     scores = stash(scores, "scores")
     mean = F.col("nll") / F.col("n")
     held = scores.where("nll is not null").select(F.col("id").alias("doc_id"), "lang", F.ceil(mean / STEP).alias("b"))
-    held = held.join(trusted, "doc_id").join(inside, "lang").where(draw() >= F.col("upto"))
+    held = held.join(trusted, "doc_id").join(inside, "lang").where(draw() >= F.col("since"))
     hist = held.groupBy("lang", "b").agg(F.count("*").alias("c"))
     upto = W.partitionBy("lang").orderBy("b")
     share = hist.withColumns({"run": F.sum("c").over(upto), "all": F.sum("c").over(W.partitionBy("lang"))})

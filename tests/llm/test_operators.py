@@ -471,6 +471,25 @@ def test_quality(spark, docs_of):
     assert kneser_ney.classify(d.where("false"), labels).count() == 0
 
 
+def test_quality_trains_on_all_trusted_text(spark, docs_of):
+    junk = ["".join(random.Random(i).choices("#%@xqzj0189", k=200)) for i in range(3)]
+    first = spark.range(40).orderBy(kneser_ney.draw("id")).first()["id"]
+    good = texts(40)
+    good[first] = " ".join(good) + " zebra" * 700_000  # over 4 M characters
+    d = docs_of(good + texts(6) + junk * 4, ["en"] * 40 + ["aa", "bb", "bb", "cc", "cc", "cc"] + ["en"] * 3 + ["aa"] * 3 + ["bb"] * 3 + ["cc"] * 3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(46)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in kneser_ney.classify(d, labels).collect()}
+    assert all(r["threshold"] is not None for r in got.values())
+    assert not any(got[i]["accepted"] for i in range(46, 58))
+    told = d.where("doc_id < 46")
+    cuts = {r["lang"]: (r["upto"], r["since"]) for r in kneser_ney.training_cut(told).collect()}
+    drawn = told.select("lang", kneser_ney.draw().alias("h")).collect()
+    for lang, (upto, since) in cuts.items():
+        h = [r["h"] for r in drawn if r["lang"] == lang]
+        assert any(x < upto for x in h) and any(x >= since for x in h) and (len(set(h)) == 1 or upto == since)
+
+
+
 # 2: mixing
 
 
