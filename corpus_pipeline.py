@@ -9,24 +9,32 @@ from loomdex.llm import kneser_ney, mixing, packing, simhash
 from loomdex.runtime import reach, stash
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (column ``id``); a null id matches a null id."""
-    return docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
+KEY = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a digest of the whole row: rows that share a doc_id, null or not, are judged one by one."""
+    return docs.withColumn(KEY, F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+
+
+def _keep(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose digest is in ``keys``."""
+    return keyed.join(keys.select(KEY).distinct(), KEY, "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the Kneser-Ney classifier accepts."""
+    """Rows that the Kneser-Ney classifier accepts."""
     reach(spark)
-    judged = kneser_ney.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _keep(docs, judged.where("accepted").select(F.col("doc_id").alias("id")))
+    keyed = _keyed(docs)
+    judged = kneser_ney.classify(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=(KEY,))
+    return _keep(keyed, judged.where("accepted")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the smallest doc_id, once if its row is repeated."""
+    """One row of each SimHash component: that with the smallest doc_id (null ids last), once if it is repeated."""
     reach(spark)
-    found = simhash.simhash_components(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"))
-    return _keep(docs, first).dropDuplicates(["doc_id"])
+    keyed = _keyed(docs)
+    return _keep(keyed, simhash.first_rows(keyed, KEY)).dropDuplicates([KEY]).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,8 +189,8 @@ def dense_rows(model: Model) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarr
     return out
 
 
-def score_gathered(documents: DataFrame, model: Model) -> DataFrame:
-    """(id, lang, n, nll): characters and summed negative log-probability; null for untaught languages and no text."""
+def score_gathered(documents: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, lang, n, nll, *carry): characters and summed negative log-probability; null for untaught languages and no text."""
     sent = documents.sparkSession.sparkContext.broadcast(dense_rows(model))
     order = model.order
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -211,16 +211,17 @@ def score_gathered(documents: DataFrame, model: Model) -> DataFrame:
                 total = logp[row[k >> BITS] * np.int64(ALPHABET) + (k & (ALPHABET - 1))].sum(dtype=np.float64)
                 n.append(len(text))
                 nll.append(-float(total))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(nll, pa.float64())], names=["id", "lang", "n", "nll"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(nll, pa.float64()), *b.columns[3:]], names=["id", "lang", "n", "nll", *carry])
 
-    return documents.select("doc_id", language(documents).alias("lang"), "text").mapInArrow(run, f"id {kind}, lang string, n long, nll double")
+    more = "".join(f", {c} {documents.schema[c].dataType.simpleString()}" for c in carry)
+    return documents.select("doc_id", language(documents).alias("lang"), "text", *carry).mapInArrow(run, f"id {kind}, lang string, n long, nll double{more}")
 
 
-def score_by_joins(documents: DataFrame, model: Model) -> DataFrame:
+def score_by_joins(documents: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """The same as ``score_gathered`` by joins of the documents' n-gram counts with the sharded tables."""
     letters, order = model.letters, model.order
     kind = documents.schema["doc_id"].dataType.simpleString()
-    own = stash(documents.select("doc_id", language(documents).alias("lang"), "text").withColumn("row", F.monotonically_increasing_id()), "docs")
+    own = stash(documents.select("doc_id", language(documents).alias("lang"), "text", *carry).withColumn("row", F.monotonically_increasing_id()), "docs")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {k: lookup(v) for k, v in letters.items()}
@@ -243,17 +244,18 @@ def score_by_joins(documents: DataFrame, model: Model) -> DataFrame:
         total = done if total is None else total.unionByName(done)
     total = total.unionByName(need.select("row", (F.col("n") * (F.col("lp") + F.log(F.lit(1.0 / ALPHABET)))).alias("x")))
     sums = total.groupBy("row").agg((-F.sum("x")).alias("nll"))
-    return own.join(sums, "row", "left").select(F.col("doc_id").cast(kind).alias("id"), "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), "nll")
+    return own.join(sums, "row", "left").select(F.col("doc_id").cast(kind).alias("id"), "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), "nll", *carry)
 
 
 def classify(
-    documents: DataFrame, labels: DataFrame, quantile: float = 0.99, gather_bytes: int = 256 << 20
+    documents: DataFrame, labels: DataFrame, quantile: float = 0.99, gather_bytes: int = 256 << 20, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, accepted for every document.
 
     Null and empty texts have no perplexity and are not accepted. Documents of a language without
     trusted text can't be judged: no threshold, accepted. A null lang counts as ``und``. Repeated rows are
-    judged alike. Without labels everything with text is accepted. Extra columns are ignored.
+    judged alike. Without labels everything with text is accepted. Extra columns are
+    ignored, but those of ``carry`` are returned with their rows.
     """
     lang = language(documents)
     trusted = stash(trusted_ids(labels), "trusted")
@@ -265,7 +267,7 @@ def classify(
     texts = documents.select("doc_id", lang.alias("lang"), "text").join(F.broadcast(sample) if small else sample, ["doc_id", "lang"], "left_semi").select("lang", "text")
     model = train(stash(texts, "train"))
     gathered = model.rows * ALPHABET * 4 <= gather_bytes
-    scores = score_gathered(documents, model) if gathered else score_by_joins(documents, model)
+    scores = score_gathered(documents, model, carry) if gathered else score_by_joins(documents, model, carry)
     scores = stash(scores, "scores")
     mean = F.col("nll") / F.col("n")
     held = scores.where("nll is not null").select(F.col("id").alias("doc_id"), "lang", F.ceil(mean / STEP).alias("b"))
@@ -277,5 +279,5 @@ def classify(
     # one row a language
     return scores.join(limits, "lang", "left").select(
         F.col("id").alias("doc_id"), "lang", F.col("n").alias("n_chars"), F.exp(mean).alias("perplexity"), F.exp("limit").alias("threshold"),
-        ((F.col("n") > 0) & F.coalesce(mean <= F.col("limit"), F.lit(True))).alias("accepted"),
+        ((F.col("n") > 0) & F.coalesce(mean <= F.col("limit"), F.lit(True))).alias("accepted"), *carry,
     )

@@ -49,16 +49,17 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): fp as a signed long. Whole texts; null and blank ones have 0."""
+def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, *carry): fp as a signed long. Whole texts; null and blank ones have 0."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["id", "fp", *carry])
 
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    more = "".join(f", {c} {documents.schema[c].dataType.simpleString()}" for c in carry)
+    return documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), *carry).mapInArrow(run, f"id {kind}, fp long{more}")
 
 
 def _flip(x: Column, bit: Column) -> Column:
@@ -127,3 +128,14 @@ def simhash_components(documents: DataFrame, bucket: int = 512) -> DataFrame:
     return fps.join(comp, "fp").select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def first_rows(documents: DataFrame, key: str, bucket: int = 512) -> DataFrame:
+    """``key`` of one row of each component: that with the smallest doc_id, null ids last, then the smallest key."""
+    fps = stash(fingerprints(documents, carry=(key,)), "fp")
+    order = F.struct(F.col("id").isNull().alias("void"), "id", F.col(key).alias("key"))
+    reps = stash(fps.groupBy("fp").agg(F.min(order).alias("least")), "reps")
+    pairs = stash(links(reps, bucket), "links")
+    roots = connected_components(pairs).select(F.col("node").alias("fp"), "root")
+    found = reps.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    return found.select(F.col("least.key").alias(key))

@@ -42,6 +42,22 @@ def test_stages(spark, folder):
     assert four.columns == packing.pack_documents(three).columns and four.select("doc_id").distinct().count() == sum(c > 0 for c in copies.values())
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, folder):
+    stage = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = [r["text"] for r in docs.where("doc_id between 3 and 12").orderBy("doc_id").collect()]
+    junk = docs.where("doc_id = 201").first()["text"]
+    rows = [(None, t) for t in [*clean[:6], junk]] + [(500, t) for t in [*clean[6:], junk]]
+    extra = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    one = [(r["doc_id"], r["text"]) for r in stage["quality"](spark, docs.unionByName(extra), folder).collect()]
+    fine = {t for i, t in one if i is not None and i < 200}
+    assert sorted(t for i, t in one if i is None) == sorted(fine & set(clean[:6])) and len(fine & set(clean[:6])) > 1
+    assert sorted(t for i, t in one if i == 500) == sorted(fine & set(clean[6:])) and len(fine & set(clean[6:])) > 1
+    near = [(3, clean[0]), (5, clean[1]), (5, clean[0]), (None, clean[2]), (None, clean[3]), (None, clean[3]), (None, clean[0])]
+    two = stage["near_copies"](spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in near], docs.schema), folder)
+    assert {(r["doc_id"], r["text"]) for r in two.collect()} == {(3, clean[0]), (5, clean[1]), (None, clean[2]), (None, clean[3])} and two.count() == 4
+
+
 def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.count() > 100 and {"doc_id", "sequence_id", "offset", "length"} <= set(got.columns)
