@@ -4,7 +4,8 @@ A record is one gzip member: the version line, headers, a blank line, ``Content-
 line ends. The reader walks from record to record. Where a check fails (member, version line,
 headers, length, block digest) it looks for the next place at which a whole
 record passes all checks, a gzip member or a bare version line, goes on from there, and logs the
-bytes in between as a gap. Nothing is guessed: a record is returned only if all its checks pass.
+bytes in between as a gap. Within a sound member of several records it looks for the next version line in the
+content; such a gap has the member's place, and its bytes of the content in the reason. Nothing is guessed: a record is returned only if all its checks pass.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from loomdex.runtime import new_path, stash
 
 VERSION = b"WARC/1.1\r\n"
 MAGIC = b"\x1f\x8b\x08"
+LINE = re.compile(rb"WARC/1\.[01]\r\n")
 NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 ARCHIVE_BYTES = 32 << 20
 WINDOW = 1 << 14
@@ -105,14 +107,30 @@ def member(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), min(here, len(data)) - len(z.unused_data)
 
 
-def record_at(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the member, or the bare record, at ``at``, and where they end."""
+def _parses(raw: bytes, at: int) -> bool:
+    try:
+        parse(raw, at)
+    except ValueError:
+        return False
+    return True
+
+
+def record_at(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    """The records of the member with the gaps in its content, or the bare record, at ``at``, and where they end."""
     if data.startswith(MAGIC, at):
         raw, end = member(data, at)
-        found, inner = [], 0
+        found, inner, first = [], 0, None
         while inner < len(raw):
-            headers, block, inner = parse(raw, inner)
-            found.append(Record(at, end - at, headers, block))
+            try:
+                headers, block, inner = parse(raw, inner)
+            except ValueError as e:
+                start, first = inner, first or e
+                inner = next((m.start() for m in LINE.finditer(raw, start + 1) if _parses(raw, m.start())), len(raw))
+                found.append(Gap(at, end, f"{e}, bytes {start} to {inner} of the member's content"))
+            else:
+                found.append(Record(at, end - at, headers, block))
+        if first and not any(isinstance(x, Record) for x in found):
+            raise first
         return found, end
     headers, block, end = parse(data, at)
     return [Record(at, end - at, headers, block)], end

@@ -257,6 +257,22 @@ def test_salvage(packed):
     assert list(warc.salvage(b"")) == [] and [type(x) for x in warc.salvage(b"nothing here")] == [warc.Gap]
 
 
+@pytest.mark.parametrize("bad", [0, 2, 4])
+def test_salvage_inside_a_member(bad):
+    bare = [warc.encode("response", {"X-Page-Id": str(i)}, b"block %d" % i * 9, packed=False) for i in range(5)]
+    size = len(b"block 0" * 9)
+    for old, new in ((b"block", b"blick"), (b"Content-Length: %d" % size, b"Content-Length: 99999")):
+        parts = [x.replace(old, new) if i == bad else x for i, x in enumerate(bare)]
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        one = z.compress(b"".join(parts)) + z.flush()
+        got = list(warc.salvage(one + warc.encode("response", {"X-Page-Id": "5"}, b"after")))
+        assert [x.headers["x-page-id"] for x in got if isinstance(x, warc.Record)] == [str(i) for i in range(6) if i != bad]
+        gaps = [x for x in got if isinstance(x, warc.Gap)]
+        start = sum(map(len, parts[:bad]))
+        assert [(x.start, x.end) for x in gaps] == [(0, len(one))] and f"bytes {start} to {start + len(parts[bad])} " in gaps[0].reason
+        assert isinstance(got[bad], warc.Gap)
+
+
 def test_a_flipped_bit_is_never_returned():
     part = archive(False)[3]
     for at in range(len(part) - 60, len(part) - 4):
