@@ -5,69 +5,138 @@ the hashes of their doc_ids train the models, whole texts, however many there ar
 others set the thresholds. A document is accepted
 if its perplexity is at most its language's ``quantile`` over those.
 
-Counts are sharded by n-gram in Spark: n-gram counts, continuation counts, context totals and
+Training counts are sharded by n-gram: n-gram counts, continuation counts, context totals and
 lower orders meet in shuffled joins, which give each n-gram's probability and each context's
-weight. The joined table grows with the trusted text up to the ``ALPHABET`` ** ``ORDER`` n-grams of a language; while
-it is below ``gather_bytes`` it goes to the scoring tasks as dense rows, beyond that
-documents' n-gram counts are joined with the shards (``score_by_joins``, the same numbers).
+weight. Scoring is a join with these shards too. Documents are dealt to blocks; a block asks for its distinct
+n-grams once, the shards answer every distinct n-gram of the corpus once, backing off order by order, and the
+answers go back to the blocks as files in the shared folder, which the scoring tasks read. So no table
+of the model is gathered or broadcast, texts are not shuffled, and what moves is a block's distinct n-grams.
+
+An n-gram is a 64-bit number, sixteen bits a symbol. A language's symbols are the characters of its training text by
+frequency: all of them, up to the 65,534 that sixteen bits can name (further ones would count as unknown characters).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomdex.runtime import stash
+from loomdex.runtime import discard, new_path, stash
 
-BITS = 6
-ALPHABET = 1 << BITS  # symbol 0 pads the start, symbol 1 is any other character
+BITS = 16
+MOST_LETTERS = (1 << BITS) - 2  # symbol 0 pads the start, symbol 1 is any other character
 ORDER = 4
-LIMIT = 1 << 16
+CODE_POINTS = 0x110000
 STEP = 0.001  # nats; thresholds are exact quantiles of perplexities on this grid
+COARSE = 64  # steps in a coarse step, by which the grid is searched
 SPLIT = 4096
-
-
-def symbols(text: str, alphabet: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Symbols of a text after order-1 paddings. ``alphabet`` maps code points below LIMIT."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.zeros(len(cp) + order - 1, np.int64)
-    out[order - 1 :] = alphabet[np.minimum(cp, LIMIT - 1)]
-    return out
-
-
-def keys(s: np.ndarray, order: int) -> np.ndarray:
-    """n-gram of each position, six bits a symbol, the last symbol lowest."""
-    n = len(s) - order + 1
-    out = np.zeros(n, np.int64)
-    for i in range(order):
-        out = (out << BITS) | s[i : i + n]
-    return out
+#: Characters, and n-grams, that a task holds as numbers at once.
+RUN = 1 << 20
+#: Odd multipliers of the hash tables.
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def lookup(letters: list[str]) -> np.ndarray:
-    table = np.ones(LIMIT, np.int64)
+    """Symbol of every code point."""
+    table = np.ones(CODE_POINTS, np.uint16)
     for i, c in enumerate(letters):
-        if ord(c) < LIMIT - 1:
-            table[ord(c)] = i + 2
+        table[ord(c)] = i + 2
     return table
 
 
+def keys(text: str, alphabet: np.ndarray, order: int = ORDER) -> Iterator[np.ndarray]:
+    """n-gram of every character, the last symbol lowest, in runs of RUN at most; paddings before the text."""
+    for a in range(0, len(text), RUN):
+        lead = max(0, a - order + 1)
+        cp = np.frombuffer(text[lead : a + RUN].encode("utf-32-le", "surrogatepass"), np.uint32)
+        s = np.zeros(min(RUN, len(text) - a) + order - 1, np.uint64)
+        s[len(s) - len(cp) :] = alphabet[cp]
+        n = len(s) - order + 1
+        out = s[:n].copy()
+        for i in range(1, order):
+            out <<= np.uint64(BITS)
+            out |= s[i : i + n]
+        yield out.view(np.int64)
+
+
+def slots(k: np.ndarray, mix: int, bits: int) -> np.ndarray:
+    return ((k.view(np.uint64) * np.uint64(mix)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+class Distinct:
+    """The distinct keys put in. A direct-mapped table lets repeats of common keys go at once."""
+
+    def __init__(self, bits: int = 18):
+        self.bits, self.table, self.parts, self.held = bits, np.zeros(1 << bits, np.int64), [], 0
+
+    def put(self, k: np.ndarray) -> None:
+        new = k[self.table[slots(k, MIX[0], self.bits)] != k]
+        if len(new):
+            new = np.unique(new)
+            self.table[slots(new, MIX[0], self.bits)] = new
+            self.parts.append(new)
+            self.held += len(new)
+            if self.held > 4 * RUN:
+                self.parts = [self.all()]
+                self.held = len(self.parts[0]) // 2  # merged again only after as much has come in
+
+    def all(self) -> np.ndarray:
+        return np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.int64)
+
+
+class Probes:
+    """Values of int64 keys: direct-mapped tables one after the other, then a sorted rest."""
+
+    def __init__(self, k: np.ndarray, values: np.ndarray):
+        self.bits, self.tables = max(8, (2 * len(k)).bit_length()), []
+        for mix in MIX:
+            at, own = slots(k, mix, self.bits), np.arange(len(k))
+            place = np.full(1 << self.bits, -1)
+            place[at] = own
+            won = place[at] == own
+            keys_, vals = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.float64)
+            keys_[at[won]], vals[at[won]] = k[won], values[won]
+            self.tables.append((mix, keys_, vals))
+            k, values = k[~won], values[~won]
+        order = np.argsort(k)
+        self.rest, self.values = k[order], values[order]
+
+    def total(self, k: np.ndarray) -> float:
+        """Sum of the keys' values; an unknown key raises."""
+        out = 0.0
+        for mix, keys_, vals in self.tables:
+            at = slots(k, mix, self.bits)
+            hit = keys_[at] == k
+            out += float(vals[at[hit]].sum())
+            k = k[~hit]
+            if not len(k):
+                return out
+        at = np.searchsorted(self.rest, k)
+        if not len(self.rest) or (self.rest[np.minimum(at, len(self.rest) - 1)] != k).any():
+            raise KeyError("an n-gram that its block did not ask for")
+        return out + float(self.values[at].sum())
+
+
 @dataclass
 class Model:
-    """Sharded tables, the letters of each language, and their bound in rows."""
+    """Sharded tables and the letters of each language."""
 
     letters: dict[str, list[str]]
     grams: DataFrame  # k, lang, key, p: probability of seen k-grams
     contexts: DataFrame  # k, lang, ctx, g: weight that context leaves to order k - 1
-    rows: int
     order: int = ORDER
-    dense: dict[str, tuple] = field(default_factory=dict)
+
+    def floor(self) -> Column:
+        """Probability that a language gives every character before anything is counted."""
+        return F.create_map(*[x for lang, c in self.letters.items() for x in (F.lit(lang), F.lit(1.0 / (len(c) + 1)))])[F.col("lang")]
 
 
 def language(df: DataFrame) -> Column:
@@ -94,41 +163,69 @@ def training_cut(trusted_texts: DataFrame) -> DataFrame:
     return ends.select("lang", middle.alias("upto"), F.least(middle, "hi").alias("since"))
 
 
+def symbols_below(key: Column, k: int) -> Column:
+    """The last ``k`` symbols of a key."""
+    return key.bitwiseAND(F.lit((1 << BITS * k) - 1)) if BITS * k < 64 else key
+
+
+def context_of(key: Column) -> Column:
+    return F.call_function("shiftrightunsigned", key, F.lit(BITS))
+
+
 def train(texts: DataFrame, order: int = ORDER) -> Model:
     """Model of (lang, text). Null and empty texts teach nothing."""
     texts = texts.where("length(text) > 0").select("lang", "text")
 
     def letters_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, np.ndarray] = {}
         for b in batches:
-            for lang in set(b.column(0).to_pylist()):
-                part = "".join(t for l, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if l == lang)
-                cp, n = np.unique(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cp)), pa.array(cp.astype(np.int64)), pa.array(n)], names=["lang", "c", "n"])
-
-    seen = texts.mapInArrow(letters_of, "lang string, c long, n long").groupBy("lang", "c").agg(F.sum("n").alias("n"))
-    top = seen.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "c"))).where(F.col("r") <= ALPHABET - 2)
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+                cp = np.frombuffer(text.as_py().encode("utf-32-le", "surrogatepass"), np.uint32)
+                n = np.bincount(cp)
+                have = seen.get(lang, np.zeros(0, np.int64))
+                if len(have) < len(n):
+                    have, n = n, have
+                have[: len(n)] += n
+                seen[lang] = have
+        for lang, n in seen.items():
+            c = np.nonzero(n)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c, pa.int64()), pa.array(n[c], pa.int64())], names=["lang", "c", "n"])
+
+    counted = stash(texts.mapInArrow(letters_of, "lang string, c long, n long").groupBy("lang", "c").agg(F.sum("n").alias("n")), "letters")
     letters: dict[str, list[str]] = {}
-    for r in top.orderBy("lang", "r").collect():  # ALPHABET rows a language
-        letters.setdefault(r["lang"], []).append(chr(r["c"]))
+    for r in counted.orderBy("lang", F.desc("n"), "c").toLocalIterator():  # the characters of each language: bounded by Unicode
+        own = letters.setdefault(r["lang"], [])
+        if len(own) < MOST_LETTERS:
+            own.append(chr(r["c"]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {}
+        tables: dict[str, np.ndarray] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                k, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n, pa.int64())], names=["lang", "key", "n"])
+            held.clear()
+
         for b in batches:
-            got: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if lang not in tables:
                     tables[lang] = lookup(letters[lang])
-                got.setdefault(lang, []).append(keys(symbols(text, tables[lang], order), order))
-            for lang, parts in got.items():
-                k, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k), pa.array(n)], names=["lang", "key", "n"])
+                for k in keys(text.as_py(), tables[lang], order):
+                    held.setdefault(lang, []).append(k)
+                    size += len(k)
+                    if size > 4 * RUN:
+                        yield from out()
+                        size = 0
+        yield from out()
 
     counts = texts.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     levels = {order: stash(counts, "ngrams")}
     for k in range(order - 1, 0, -1):  # continuation counts: how many symbols precede
-        low = F.col("key").bitwiseAND((1 << BITS * k) - 1)
-        levels[k] = levels[k + 1].groupBy("lang", low.alias("key")).agg(F.count("*").alias("n"))
-    parts, outs = None, None
+        levels[k] = levels[k + 1].groupBy("lang", symbols_below(F.col("key"), k).alias("key")).agg(F.count("*").alias("n"))
+    model = Model(letters, None, None, order)
     below = None
     for k in range(1, order + 1):
         c = levels[k]
@@ -139,145 +236,180 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
             raw = F.lit(float(i)) - (i + 1) * y * F.coalesce(F.try_divide(f"n{i + 1}", f"n{i}"), F.lit(0.0))
             return F.greatest(F.lit(0.1), F.least(raw, F.lit(i - 0.1))).alias(f"d{i}")
 
-        ds = kinds.select("lang", *[discount(i) for i in (1, 2, 3)])
+        ds = kinds.select("lang", *[discount(i) for i in (1, 2, 3)])  # a row per language
         c = c.join(F.broadcast(ds), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        c = c.withColumn("ctx", F.call_function("shiftright", F.col("key"), F.lit(BITS)))
+        c = c.withColumn("ctx", context_of(F.col("key")))
         ctx = c.groupBy("lang", "ctx").agg(F.sum("n").alias("t"), (F.sum("d") / F.sum("n")).alias("g"))
         own = c.join(ctx, ["lang", "ctx"])
         if below is None:
-            p = own.withColumn("lower", F.lit(1.0 / ALPHABET))
+            p = own.withColumn("lower", model.floor()) if letters else own.withColumn("lower", F.lit(1.0))
         else:
-            p = own.withColumn("suffix", F.col("key").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(
+            p = own.withColumn("suffix", symbols_below(F.col("key"), k - 1)).join(
                 below.select("lang", F.col("key").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"]
             )
         below = stash(p.select("lang", "key", ((F.col("n") - F.col("d")) / F.col("t") + F.col("g") * F.col("lower")).alias("p")), f"p{k}")
         grams = below.select(F.lit(k).alias("k"), "lang", "key", "p")
         weights = stash(ctx.select(F.lit(k).alias("k"), "lang", "ctx", "g"), f"g{k}")
-        parts = grams if parts is None else parts.unionByName(grams)
-        outs = weights if outs is None else outs.unionByName(weights)
-    return Model(letters, parts, outs, parts.count() + outs.count(), order)
+        model.grams = grams if model.grams is None else model.grams.unionByName(grams)
+        model.contexts = weights if model.contexts is None else model.contexts.unionByName(weights)
+    return model
 
 
-def dense_rows(model: Model) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """language -> (alphabet, row of each context, log-probabilities of the next symbol by row).
+def log_probabilities(wanted: DataFrame, model: Model) -> DataFrame:
+    """(lang, key, lp) of distinct n-grams (lang, key): the longest seen end of each, times the weights of the contexts above it."""
+    need, out = wanted.withColumn("lp", F.lit(0.0)), None
+    for k in range(model.order, 0, -1):
+        key = symbols_below(F.col("key"), k)
+        p = model.grams.where(F.col("k") == k).select("lang", F.col("key").alias("kk"), "p")
+        got = stash(need.withColumn("kk", key).join(p, ["lang", "kk"], "left"), f"asked{k}")
+        done = got.where("p is not null").select("lang", "key", (F.col("lp") + F.log("p")).alias("lp"))
+        g = model.contexts.where(F.col("k") == k).select("lang", F.col("ctx").alias("cc"), "g")
+        need = got.where("p is null").withColumn("cc", context_of(F.col("kk"))).join(g, ["lang", "cc"], "left")
+        need = need.select("lang", "key", (F.col("lp") + F.coalesce(F.log("g"), F.lit(0.0))).alias("lp"))
+        out = done if out is None else out.unionByName(done)
+    return out.unionByName(need.select("lang", "key", (F.col("lp") + F.log(model.floor())).alias("lp")))
+
 
-    The last ALPHABET ** (order - 2) rows are those of contexts one symbol shorter, for contexts never seen.
+def requests(blocks: DataFrame, model: Model) -> DataFrame:
+    """(block, lang, key): the distinct n-grams of each block of (block, lang, text)."""
+    letters, order = model.letters, model.order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, now = {}, None
+        seen: dict[str, Distinct] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, d in seen.items():
+                k = d.all()
+                for a in range(0, len(k), RUN):
+                    part = k[a : a + RUN]
+                    yield pa.RecordBatch.from_arrays([pa.array([now] * len(part), pa.int32()), pa.array([lang] * len(part), pa.string()), pa.array(part)], names=["block", "lang", "key"])
+            seen.clear()
+
+        for b in batches:
+            for block, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if block != now:
+                    yield from out()
+                    now = block
+                if lang in letters and (text := text.as_py()):
+                    if lang not in tables:
+                        tables[lang] = lookup(letters[lang])
+                    if lang not in seen:
+                        seen[lang] = Distinct()
+                    for k in keys(text, tables[lang], order):
+                        seen[lang].put(k)
+        yield from out()
+
+    return blocks.select("block", "lang", "text").mapInArrow(run, "block int, lang string, key long")
+
+
+def score(blocks: DataFrame, model: Model) -> DataFrame:
+    """Stashed ``blocks`` (block, lang, text and more) with n, characters, and nll, the summed negative log-probability.
+
+    nll is null for untaught languages and without text.
     """
-    grams = model.grams.toArrow()
-    ctxs = model.contexts.toArrow()
-    gl, gk, gkey, gp = (grams.column(c).to_numpy() for c in ("lang", "k", "key", "p"))
-    cl, ck, cctx, cg = (ctxs.column(c).to_numpy() for c in ("lang", "k", "ctx", "g"))
-    out = {}
-    for lang in model.letters:
-        lower = np.full((1, ALPHABET), 1.0 / ALPHABET)
-        for k in range(1, model.order + 1):
-            cm, gm = (cl == lang) & (ck == k), (gl == lang) & (gk == k)
-            ctx, weight = cctx[cm], cg[cm]
-            short = ctx & ((1 << BITS * max(0, k - 2)) - 1)
-            if k < model.order:
-                at = np.arange(ALPHABET ** (k - 1))
-                table = lower[at & ((1 << BITS * max(0, k - 2)) - 1)].copy()
-                table[ctx] = weight[:, None] * lower[short]
-                table[gkey[gm] >> BITS, gkey[gm] & (ALPHABET - 1)] = gp[gm]
-                lower = table
-            else:
-                row = len(ctx) + (np.arange(ALPHABET ** (k - 1)) & ((1 << BITS * (k - 2)) - 1))
-                row[ctx] = np.arange(len(ctx))
-                table = np.concatenate([weight[:, None] * lower[short], lower])
-                table[row[gkey[gm] >> BITS], gkey[gm] & (ALPHABET - 1)] = gp[gm]
-        out[lang] = lookup(model.letters[lang]).astype(np.uint8), row.astype(np.int32), np.log(table).astype(np.float32).reshape(-1)
-    return out
-
-
-def score_gathered(documents: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang, n, nll, *carry): characters and summed negative log-probability; null for untaught languages and no text."""
-    sent = documents.sparkSession.sparkContext.broadcast(dense_rows(model))
-    order = model.order
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    spark = blocks.sparkSession
+    if not model.letters:
+        return blocks.withColumns({"n": F.coalesce(F.length("text"), F.lit(0)).cast("long"), "nll": F.lit(None).cast("double")})
+    asked = stash(requests(blocks, model), "asked")
+    answers = stash(log_probabilities(asked.select("lang", "key").distinct(), model), "answers")
+    folder = new_path(spark, "answered")
+    asked.join(answers, ["lang", "key"]).repartition("block").write.partitionBy("block").parquet(folder)
+    discard(asked)
+    letters, order, names = model.letters, model.order, blocks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = sent.value
+        store, root = fs.FileSystem.from_uri(folder)
+        tables, now, known = {}, None, {}
         for b in batches:
             n, nll = [], []
-            for lang, text in zip(b.column(1), b.column(2)):
-                lang, text = lang.as_py(), text.as_py()
-                if not text or lang not in tables:
-                    n.append(len(text or ""))
+            for block, lang, text in zip(*(b.column(names.index(c)) for c in ("block", "lang", "text"))):
+                block, lang, text = block.as_py(), lang.as_py(), text.as_py()
+                n.append(len(text or ""))
+                if not text or lang not in letters:
                     nll.append(None)
                     continue
-                letters, row, logp = tables[lang]
-                s = symbols(text, letters, order)
-                k = keys(s, order)
-                total = logp[row[k >> BITS] * np.int64(ALPHABET) + (k & (ALPHABET - 1))].sum(dtype=np.float64)
-                n.append(len(text))
-                nll.append(-float(total))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(nll, pa.float64()), *b.columns[3:]], names=["id", "lang", "n", "nll", *carry])
-
-    more = "".join(f", {c} {documents.schema[c].dataType.simpleString()}" for c in carry)
-    return documents.select("doc_id", language(documents).alias("lang"), "text", *carry).mapInArrow(run, f"id {kind}, lang string, n long, nll double{more}")
+                if block != now:
+                    got, now = pq.read_table(f"{root}/block={block}", filesystem=store, partitioning=None), block
+                    whose, k, lp = (got.column(c).to_numpy() for c in ("lang", "key", "lp"))
+                    known = {x: Probes(k[whose == x], lp[whose == x]) for x in set(whose)}
+                if lang not in tables:
+                    tables[lang] = lookup(letters[lang])
+                nll.append(-sum(known[lang].total(k) for k in keys(text, tables[lang], order)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(nll, pa.float64())], names=[*names, "n", "nll"])
 
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema)
+    return blocks.mapInArrow(run, f"{schema}, n long, nll double")
 
-def score_by_joins(documents: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The same as ``score_gathered`` by joins of the documents' n-gram counts with the sharded tables."""
-    letters, order = model.letters, model.order
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    own = stash(documents.select("doc_id", language(documents).alias("lang"), "text", *carry).withColumn("row", F.monotonically_increasing_id()), "docs")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {k: lookup(v) for k, v in letters.items()}
-        for b in batches:
-            for row, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if text and lang in tables:
-                    k, n = np.unique(keys(symbols(text, tables[lang], order), order), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(k)), pa.array([lang] * len(k)), pa.array(k), pa.array(n)], names=["row", "lang", "key", "n"])
-
-    need = own.select("row", "lang", "text").mapInArrow(count, "row long, lang string, key long, n long").withColumn("lp", F.lit(0.0))
-    total = None
-    for k in range(order, 0, -1):
-        key = F.col("key").bitwiseAND((1 << BITS * k) - 1)
-        p = model.grams.where(F.col("k") == k).select("lang", F.col("key").alias("kk"), "p")
-        got = need.withColumn("kk", key).join(p, ["lang", "kk"], "left")
-        done = got.where("p is not null").select("row", (F.col("n") * (F.col("lp") + F.log("p"))).alias("x"))
-        g = model.contexts.where(F.col("k") == k).select("lang", F.col("ctx").alias("cc"), "g")
-        need = got.where("p is null").withColumn("cc", F.call_function("shiftright", F.col("kk"), F.lit(BITS))).join(g, ["lang", "cc"], "left")
-        need = need.select("row", "lang", "key", "n", (F.col("lp") + F.coalesce(F.log("g"), F.lit(0.0))).alias("lp"))
-        total = done if total is None else total.unionByName(done)
-    total = total.unionByName(need.select("row", (F.col("n") * (F.col("lp") + F.log(F.lit(1.0 / ALPHABET)))).alias("x")))
-    sums = total.groupBy("row").agg((-F.sum("x")).alias("nll"))
-    return own.join(sums, "row", "left").select(F.col("doc_id").cast(kind).alias("id"), "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), "nll", *carry)
+def to_blocks(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(block, doc_id, lang, text, c0, c1, ...) of all documents, written once; a block is what one task wrote."""
+    return stash(
+        documents.select(
+            F.spark_partition_id().alias("block"), "doc_id", language(documents).alias("lang"), "text",
+            *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)],
+        ),
+        "blocks",
+    )
 
 
-def classify(
-    documents: DataFrame, labels: DataFrame, quantile: float = 0.99, gather_bytes: int = 256 << 20, carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, threshold, accepted for every document.
+def limits_of(held: DataFrame, quantile: float) -> DataFrame:
+    """(lang, limit): the least grid step ``b`` with at least ``quantile`` of a language's rows at or below it.
 
-    Null and empty texts have no perplexity and are not accepted. Documents of a language without
-    trusted text can't be judged: no threshold, accepted. A null lang counts as ``und``. Repeated rows are
-    judged alike. Without labels everything with text is accepted. Extra columns are
-    ignored, but those of ``carry`` are returned with their rows.
+    Two rounds: the coarse step that holds it, then the steps in that. Each sees a few hundred rows a language.
     """
-    lang = language(documents)
+    hist = stash(held.groupBy("lang", "b").agg(F.count("*").alias("c")), "grid")
+
+    def first(counts: DataFrame, before: Column) -> DataFrame:
+        run = before + F.sum("c").over(W.partitionBy("lang").orderBy("x"))
+        return counts.withColumn("run", run).where(F.col("run") >= quantile * F.col("all")).groupBy("lang").agg(F.min_by(F.struct("x", "c", "run"), "x").alias("r"))
+
+    whole = hist.groupBy("lang").agg(F.sum("c").alias("all"))
+    coarse = hist.groupBy("lang", F.floor(F.col("b") / COARSE).alias("x")).agg(F.sum("c").alias("c"))
+    # one row a language
+    at = first(coarse.join(F.broadcast(whole), "lang"), F.lit(0)).select("lang", F.col("r.x").alias("big"), (F.col("r.run") - F.col("r.c")).alias("before"))
+    fine = hist.join(F.broadcast(at.join(whole, "lang")), "lang").where(F.floor(F.col("b") / COARSE) == F.col("big")).withColumn("x", F.col("b"))
+    return first(fine, F.col("before")).select("lang", (F.col("r.x") * STEP).alias("limit"))
+
+
+def judge(documents: DataFrame, labels: DataFrame, quantile: float = 0.99, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``classify`` with the columns ``carry`` of each row as c0, c1, ..."""
+    blocks = to_blocks(documents, carry)
     trusted = stash(trusted_ids(labels), "trusted")
-    told = documents.where("length(text) > 0").select("doc_id", lang.alias("lang")).join(trusted, "doc_id")
+    told = blocks.where("length(text) > 0").select("doc_id", "lang").join(trusted, "doc_id")
     cut = stash(training_cut(told), "cut")
     inside = F.broadcast(cut) if cut.count() <= 10_000 else cut  # one row a language
     sample = stash(told.join(inside, "lang").where(draw() < F.col("upto")).select("doc_id", "lang").distinct(), "sample")
     small = sample.count() * 32 <= 32 << 20
-    texts = documents.select("doc_id", lang.alias("lang"), "text").join(F.broadcast(sample) if small else sample, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    texts = blocks.select("doc_id", "lang", "text").join(F.broadcast(sample) if small else sample, ["doc_id", "lang"], "left_semi").select("lang", "text")
     model = train(stash(texts, "train"))
-    gathered = model.rows * ALPHABET * 4 <= gather_bytes
-    scores = score_gathered(documents, model, carry) if gathered else score_by_joins(documents, model, carry)
-    scores = stash(scores, "scores")
+    extra = [f"c{i}" for i in range(len(carry))]
+    scores = score(blocks, model)
+    scores = stash(scores.select("doc_id", "lang", "n", "nll", *extra), "scores")
+    discard(blocks)
     mean = F.col("nll") / F.col("n")
-    held = scores.where("nll is not null").select(F.col("id").alias("doc_id"), "lang", F.ceil(mean / STEP).alias("b"))
+    held = scores.where("nll is not null").select("doc_id", "lang", F.ceil(mean / STEP).alias("b"))
     held = held.join(trusted, "doc_id").join(inside, "lang").where(draw() >= F.col("since"))
-    hist = held.groupBy("lang", "b").agg(F.count("*").alias("c"))
-    upto = W.partitionBy("lang").orderBy("b")
-    share = hist.withColumns({"run": F.sum("c").over(upto), "all": F.sum("c").over(W.partitionBy("lang"))})
-    limits = share.where(F.col("run") >= quantile * F.col("all")).groupBy("lang").agg((F.min("b") * STEP).alias("limit"))
     # one row a language
-    return scores.join(limits, "lang", "left").select(
-        F.col("id").alias("doc_id"), "lang", F.col("n").alias("n_chars"), F.exp(mean).alias("perplexity"), F.exp("limit").alias("threshold"),
-        ((F.col("n") > 0) & F.coalesce(mean <= F.col("limit"), F.lit(True))).alias("accepted"), *carry,
+    return scores.join(F.broadcast(limits_of(held, quantile)), "lang", "left").select(
+        "doc_id", "lang", F.col("n").alias("n_chars"), F.exp(mean).alias("perplexity"), F.exp("limit").alias("threshold"),
+        ((F.col("n") > 0) & F.coalesce(mean <= F.col("limit"), F.lit(True))).alias("accepted"), *extra,
     )
+
+
+def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFrame:
+    """doc_id, lang, n_chars, perplexity, threshold, accepted for every document.
+
+    Null and empty texts have no perplexity and are not accepted. Documents of a language without
+    trusted text can't be judged: no threshold, accepted. A null lang counts as ``und``. Repeated rows are
+    judged alike. Without labels everything with text is accepted. Extra columns are
+    ignored. An empty table gives an empty result.
+    """
+    return judge(documents, labels, quantile)
+
+
+def accepted_rows(documents: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFrame:
+    """The rows of ``documents`` that ``classify`` accepts, each judged by itself, with their columns."""
+    columns = documents.columns
+    out = judge(documents, labels, quantile, tuple(columns)).where("accepted")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -419,25 +420,29 @@ def test_plans_place_every_piece(seed):
 # 1: quality
 
 
-def model_of(train, order=4):
-    """Interpolated modified Kneser-Ney over the symbols, straight from the counts."""
-    from collections import Counter
+def model_of(train, base, order=4):
+    """Interpolated modified Kneser-Ney over the symbols, straight from the counts; ``base`` before any is counted."""
+    from collections import Counter, defaultdict
+    from functools import lru_cache
 
     counts = {order: Counter()}
     for s in train:
         counts[order].update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
-    discounts = {}
+    discounts, after = {}, defaultdict(dict)
     for k, c in counts.items():
         n = [sum(v == i for v in c.values()) for i in range(1, 5)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.5
         discounts[k] = [min(max(i - (i + 1) * y * (n[i] / n[i - 1] if n[i - 1] else 0.0), 0.1), i - 0.1) for i in (1, 2, 3)]
+        for g, v in c.items():
+            after[g[:-1]][g] = v
 
+    @lru_cache(None)
     def p(g):
         k = len(g)
-        lower = p(g[1:]) if k > 1 else 1 / kneser_ney.ALPHABET
-        inside = {h: v for h, v in counts[k].items() if h[:-1] == g[:-1]}
+        lower = p(g[1:]) if k > 1 else base
+        inside = after[g[:-1]]
         t = sum(inside.values())
         if not t:
             return lower
@@ -448,29 +453,89 @@ def model_of(train, order=4):
     return p
 
 
+def symbols_of(text, letters):
+    return [0, 0, 0] + [letters.index(c) + 2 if c in letters else 1 for c in text]
+
+
+def nll_of(text, p, letters):
+    s = symbols_of(text, letters)
+    return -sum(np.log(p(tuple(s[i : i + 4]))) for i in range(len(s) - 3))
+
+
+def test_keys_run_over_borders(monkeypatch):
+    letters = ["a", "b", "語", "😀"]
+    text = "ab語x😀" * 30
+    monkeypatch.setattr(kneser_ney, "RUN", 7)
+    got = np.concatenate(list(kneser_ney.keys(text, kneser_ney.lookup(letters)))).view(np.uint64).tolist()
+    s = symbols_of(text, letters)
+    assert got == [s[i] << 48 | s[i + 1] << 32 | s[i + 2] << 16 | s[i + 3] for i in range(len(text))]
+    assert list(kneser_ney.keys("", kneser_ney.lookup(letters))) == []
+
+
+def test_hash_tables(monkeypatch):
+    rng = np.random.default_rng(1)
+    k = np.unique(rng.integers(1, 2**62, 5000))
+    v = rng.normal(size=len(k))
+    probes = kneser_ney.Probes(k, v)
+    assert len(probes.rest) < len(k)
+    at = rng.integers(0, len(k), 20_000)
+    assert probes.total(k[at]) == pytest.approx(v[at].sum())
+    with pytest.raises(KeyError):
+        probes.total(np.array([12345]))
+    monkeypatch.setattr(kneser_ney, "RUN", 100)
+    seen = kneser_ney.Distinct(bits=6)
+    for part in np.array_split(k[at], 37):
+        seen.put(part)
+    assert seen.all().tolist() == np.unique(k[at]).tolist()
+
+
 def test_kneser_ney_equals_brute_force(docs_of):
-    train = texts(12, 3)
-    d = docs_of(train).select("lang", "text")
-    model = kneser_ney.train(d)
-    table = kneser_ney.lookup(model.letters["en"])
-    p = model_of([kneser_ney.symbols(t, table).tolist() for t in train])
-    probe = docs_of([*texts(3, 4), "ZZZ unseen — é", None, "", train[0]], ["en"] * 6 + ["xx"])
-    fast = {r["id"]: (r["n"], r["nll"]) for r in kneser_ney.score_gathered(probe, model).collect()}
-    slow = {r["id"]: (r["n"], r["nll"]) for r in kneser_ney.score_by_joins(probe, model).collect()}
+    train = texts(12, 3) + ["日本語の文章 река 😀" * 3]
+    model = kneser_ney.train(docs_of(train).select("lang", "text"))
+    letters = model.letters["en"]
+    assert set(letters) == set("".join(train))
+    p = model_of([symbols_of(t, letters) for t in train], 1 / (len(letters) + 1))
+    probe = docs_of([*texts(3, 4), "ZZZ unseen — é 本語 😀", None, "", train[0]], ["en"] * 6 + ["xx"])
+    got = {r["doc_id"]: (r["n"], r["nll"]) for r in kneser_ney.score(kneser_ney.to_blocks(probe.repartition(3)), model).collect()}
     for r in probe.collect():
         if not r["text"] or r["lang"] != "en":
-            assert fast[r["doc_id"]] == slow[r["doc_id"]] == (len(r["text"] or ""), None)
-            continue
-        s = kneser_ney.symbols(r["text"], table).tolist()
-        want = -sum(np.log(p(tuple(s[i : i + 4]))) for i in range(len(s) - 3))
-        assert fast[r["doc_id"]][1] == pytest.approx(want, rel=1e-5) and slow[r["doc_id"]][1] == pytest.approx(want, rel=1e-9)
+            assert got[r["doc_id"]] == (len(r["text"] or ""), None)
+        else:
+            assert got[r["doc_id"]] == (len(r["text"]), pytest.approx(nll_of(r["text"], p, letters), rel=1e-9))
 
 
-def test_probabilities_sum_to_one(docs_of):
+def test_probabilities_sum_to_one(spark, docs_of):
     model = kneser_ney.train(docs_of(texts(5)).select("lang", "text"))
-    _, row, logp = kneser_ney.dense_rows(model)["en"]
-    sums = np.exp(logp.reshape(-1, kneser_ney.ALPHABET)[row].astype(np.float64)).sum(axis=1)
-    assert np.abs(sums - 1).max() < 1e-4
+    rows = [("en", ctx << 16 | s, ctx) for ctx in (0, 2, 2 << 32 | 3 << 16 | 4, 7 << 16 | 7, 9 << 32 | 9 << 16 | 9) for s in range(1, len(model.letters["en"]) + 2)]
+    wanted = spark.createDataFrame(rows, "lang string, key long, ctx long")
+    lp = kneser_ney.log_probabilities(wanted.select("lang", "key"), model).join(wanted, ["lang", "key"])
+    sums = lp.groupBy("ctx").agg(F.sum(F.exp("lp")).alias("s")).collect()
+    assert len(sums) == 5 and all(r["s"] == pytest.approx(1) for r in sums)
+
+
+@pytest.mark.parametrize("quantile", [0.99, 0.5])
+def test_quality_equals_brute_force(spark, docs_of, quantile):
+    r = random.Random(11)
+    all_texts = [t[: r.randint(20, 200)] for t in texts(70, 12)] + ["".join(r.choices("#%@xqzj0189", k=60)) for _ in range(8)] + [None, ""]
+    langs = ["en", "de"] * 39 + ["en", "de"]
+    d = docs_of(all_texts, langs)
+    labelled = [(i, 1, 0) for i in range(60)] + [(i, 0, 0) for i in range(3)]
+    labels = spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in kneser_ney.classify(d, labels, quantile).collect()}
+    h = {x["doc_id"]: x["h"] for x in d.select("doc_id", kneser_ney.draw().alias("h")).collect()}
+    for lang in ("en", "de"):
+        own = [i for i in range(3, 60) if langs[i] == lang]
+        train, held = [i for i in own if h[i] < 2048], [i for i in own if h[i] >= 2048]
+        assert train and held
+        letters = sorted({c for i in train for c in all_texts[i]})
+        p = model_of([symbols_of(all_texts[i], letters) for i in train], 1 / (len(letters) + 1))
+        rate = {i: nll_of(all_texts[i], p, letters) / len(all_texts[i]) for i in range(78) if langs[i] == lang}
+        steps = sorted(math.ceil(rate[i] / 0.001) for i in held)
+        limit = steps[math.ceil(quantile * len(steps)) - 1] * 0.001
+        for i in rate:
+            assert got[i]["perplexity"] == pytest.approx(math.exp(rate[i]), rel=1e-9) and got[i]["threshold"] == pytest.approx(math.exp(limit))
+            assert got[i]["accepted"] == (rate[i] <= limit + 1e-12)
+    assert not got[78]["accepted"] and not got[79]["accepted"] and got[78]["perplexity"] is None
 
 
 def test_quality(spark, docs_of):
@@ -481,8 +546,6 @@ def test_quality(spark, docs_of):
     assert sum(got[i]["accepted"] for i in range(1, 300, 2)) >= 145 and not any(got[i]["accepted"] for i in range(300, 338))
     assert got[338]["accepted"] and got[338]["threshold"] is None and got[339]["accepted"] and not got[340]["accepted"] and not got[341]["accepted"]
     assert got[342]["perplexity"] == got[0]["perplexity"]
-    few = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(d, labels, gather_bytes=0).collect()}
-    assert all(few[i] == pytest.approx(got[i]["perplexity"], rel=1e-4) for i in range(338))
     assert kneser_ney.classify(d, labels.where("false")).where("accepted").count() == 341
     assert kneser_ney.classify(d.where("false"), labels).count() == 0
 
