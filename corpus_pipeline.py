@@ -25,9 +25,7 @@ def _keep(keyed: DataFrame, keys: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the Kneser-Ney classifier accepts."""
     reach(spark)
-    keyed = _keyed(docs)
-    judged = kneser_ney.classify(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=(KEY,))
-    return _keep(keyed, judged.where("accepted")).select(*docs.columns)
+    return kneser_ney.accepted_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
