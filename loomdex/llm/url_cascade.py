@@ -5,12 +5,13 @@ holds, level 2 the listed keys that level 1 wrongly holds, and so on until a lev
 for nobody. As the levels are built over the corpus's complete key universe, walking down
 to the first level that says no gives exact membership for every key of the corpus.
 
-A key is host + path prefix. A page's candidate keys are the suffixes of its host at label
-borders times the path prefixes whose lengths occur in the rules.
+A key is host + path prefix. A page's candidate keys are those suffixes of its host and prefixes of its path whose
+numbers of labels and characters occur together in a rule, so a long host costs no more than a short one.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 from loomdex.llm.literals import literal_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Filters of at most so many 64-bit words become literals in the plan (8 MB together at most).
-MAX_WORDS = 1 << 20
 
 #: (host, path, verdict)
 RULES = (
@@ -42,12 +41,12 @@ class Level:
 
     def holds(self, key: Column) -> Column:
         bits = len(self.words) * 64
-        table = F.array(*[F.lit(w) for w in self.words])
+        # one string in the plan, folded into one array before any row is read
+        table = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
         test = F.lit(True)
         for i in range(self.hashes):
             at = position(key, self.salt, i, bits)
-            word = F.element_at(table, (F.shiftright(at, 6) + 1).cast("int")) if len(self.words) > 1 else F.lit(self.words[0])
-            test = test & _bit(word, at)
+            test = test & _bit(F.element_at(table, (F.shiftright(at, 6) + 1).cast("int")), at)
         return test
 
 
@@ -63,8 +62,6 @@ def position(key: Column, salt: int, i: int, bits: int) -> Column:
 def build_level(keys: DataFrame, column: str, count: int, salt: int, bits_a_key: int, hashes: int) -> Level:
     """Bits are or-ed word by word in a distributed aggregation; the driver gets the words only."""
     n_words = max(1, -(-count * bits_a_key // 64))
-    if n_words > MAX_WORDS:
-        raise ValueError(f"a filter of {n_words} words exceeds {MAX_WORDS}; split the list by host first")
     at = F.explode(F.array(*[position(F.col(column), salt, i, n_words * 64) for i in range(hashes)]))
     words = (
         keys.select(at.alias("at"))
@@ -72,20 +69,26 @@ def build_level(keys: DataFrame, column: str, count: int, salt: int, bits_a_key:
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("x"))
     )
     table = [0] * n_words
-    for r in words.collect():  # at most MAX_WORDS longs
+    for r in words.collect():  # of a list of rules that the driver holds anyway, or of fewer keys
         table[r["w"]] = r["x"]
     return Level(tuple(table), hashes, salt)
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, bits_a_key: int = 4, hashes: int = 2, salt: int = 11) -> list[Level]:
-    """Levels over two tables with a column ``k``. ``universe`` may hold listed keys too."""
+    """Levels over two tables with a column ``k``. ``universe`` may hold listed keys too.
+
+    The first filter's rate of errors is the one that makes the cascade smallest: the list's size over that of the
+    rest of the universe, divided by the root of two. Later filters have ``bits_a_key`` bits a key.
+    """
     inside = listed.select("k").where("k is not null").distinct().cache()
     outside = universe.select("k").where("k is not null").distinct().join(inside, "k", "left_anti")
     levels: list[Level] = []
     here, there = inside, outside
     n = here.count()
+    sure = max(1.0, math.log2(max(1, outside.count()) / max(1, n)) + 0.5)  # bits of certainty that the first filter needs
+    first = max(bits_a_key, math.ceil(1.44 * sure)), max(hashes, round(sure))
     while n or not levels:
-        level = build_level(here, "k", n, salt + len(levels), bits_a_key, hashes)
+        level = build_level(here, "k", n, salt + len(levels), *((bits_a_key, hashes) if levels else first))
         levels.append(level)
         # those on the other side for whom this level is wrong are the next level's keys
         here, there = there.where(level.holds(F.col("k"))), here
@@ -110,17 +113,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Array of (h, p, k): host suffixes x path prefixes of the given lengths, the longest key first."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidates(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """Array of keys: for each (labels, length) of the rules, the host's last labels and the path's first characters, where it has so many."""
+    dots = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
 
-    def cut(n: int) -> Column:
-        return F.transform(suffixes, lambda h: F.struct(F.concat(h, F.substring(path, 1, n)).alias("k"), F.lit(n).alias("n")))
+    def key(labels: int, length: int) -> Column:
+        fits = (dots + 1 >= labels) & (F.length(path) >= length)
+        return F.when(fits, F.concat(F.substring_index(host, ".", -labels), F.substring(path, 1, length)))
 
-    each = [cut(n) for n in lengths]
-    fits = F.filter(F.concat(*each), lambda x: F.length(x["k"]) > 0)
-    return F.filter(fits, lambda x: F.length(path) >= x["n"])
+    return F.array_compact(F.array(*[F.nullif(key(n, m), F.lit("")) for n, m in shapes]))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, otherwise: str = "allow") -> DataFrame:
@@ -131,20 +132,20 @@ def judge_urls(pages: DataFrame, rules=RULES, otherwise: str = "allow") -> DataF
     rule. Repeated pages are judged alike; empty tables give an empty result.
     """
     spark = pages.sparkSession
-    lengths = sorted({len(p) for _, p, _ in rules}) or [0]
+    shapes = sorted({(h.count(".") + 1, len(p)) for h, p, _ in rules}) or [(1, 0)]
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    keyed = parts.withColumn("c", candidates(F.col("host"), F.col("path"), lengths))
+    keyed = parts.withColumn("c", candidates(F.col("host"), F.col("path"), shapes))
     # only urls are read here; the distinct keys are pre-aggregated in each task
-    universe = keyed.select(F.explode("c").alias("x")).select(F.col("x.k").alias("k")).distinct().cache()
+    universe = keyed.select(F.explode("c").alias("k")).distinct().cache()
     levels = {}
     for verdict in ("block", "allow"):
         own = [(h + p,) for h, p, v in rules if v == verdict]
         levels[verdict] = build_cascade(literal_table(spark, own, k="string"), universe)
     universe.unpersist()
     tagged = F.transform("c", lambda x: F.struct(
-        F.length(x["k"]).alias("len"), x["k"].alias("k"),
-        F.when(member(levels["block"], x["k"]), F.lit("block")).when(member(levels["allow"], x["k"]), F.lit("allow")).alias("v"),
+        F.length(x).alias("len"), x.alias("k"),
+        F.when(member(levels["block"], x), F.lit("block")).when(member(levels["allow"], x), F.lit("allow")).alias("v"),
     ))
     best = F.array_max(F.filter(tagged, lambda x: x["v"].isNotNull()))
     return keyed.withColumn("b", best).select(
