@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.llm.skew import look_up
 from loomdex.runtime import discard, stash
 
 
@@ -14,22 +15,22 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     Hooking and pointer jumping: each round every node looks at the grandparents of its
     neighbours and hooks itself and its parent below the smallest, then jumps to its
     grandparent. Rounds grow with the logarithm of the diameter. Each round is written to the
-    shared folder. Self loops, repeated edges and nulls are ignored; an empty table gives
-    an empty result.
+    shared folder. Hubs, the parents of many nodes and the neighbours of many, are looked up without a shuffle.
+    Self loops, repeated edges and nulls are ignored; an empty table gives an empty result.
     """
     pairs = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u <> v")
     both = stash(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")), "labels")
-    total = None
+    start = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    degrees = stash(start.select(F.col("u").alias("v"), "n", F.least("u", "m").alias("p")), "degrees")
+    labels, total = degrees.select(F.col("v").alias("u"), "p"), None
     while True:
         now = labels.agg(F.sum(F.col("p").cast("decimal(38,0)"))).first()[0]
         if now == total:
             break
         total = now
-        up = labels.select(F.col("u").alias("gu"), F.col("p").alias("gp"))
-        grand = labels.join(up, labels.p == up.gu).select("u", "p", F.col("gp").alias("g"))
-        seen = grand.select(F.col("u").alias("v"), "g")
-        least = both.join(seen, "v").groupBy("u").agg(F.min("g").alias("m"))
+        up = labels.select(F.col("u").alias("p"), F.col("p").alias("g"))
+        grand = stash(look_up(labels, up, "p").select("u", "p", "g"), "grand")
+        least = look_up(both, grand.select(F.col("u").alias("v"), "g"), "v", degrees).groupBy("u").agg(F.min("g").alias("m"))
         step = grand.join(least, "u").select(
             F.explode(F.array(
                 F.struct(F.col("u"), F.least("g", "m").alias("p")),
@@ -38,6 +39,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         )
         fresh = stash(step.select("x.u", "x.p").groupBy("u").agg(F.min("p").alias("p")), "labels")
         discard(labels)
+        discard(grand)
         labels = fresh
     discard(both)
     return labels.select(F.col("u").alias("node"), F.col("p").alias("root"))
