@@ -12,19 +12,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm.files import Opened, Rolling
+from loomdex.llm.skew import look_up
 from loomdex.runtime import new_path, stash
 
+LOG = logging.getLogger(__name__)
 VERSION = b"WARC/1.1\r\n"
 MAGIC = b"\x1f\x8b\x08"
 LINE = re.compile(rb"WARC/1\.[01]\r\n")
@@ -209,8 +213,10 @@ def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("hexed"))
-    owners = stash(keyed.where(F.col("payload_bytes") >= least_bytes).groupBy("hexed").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("hexed", "least"), "owners")
-    return keyed.join(owners, "hexed", "left").select(
+    groups = keyed.where(F.col("payload_bytes") >= least_bytes).groupBy("hexed").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
+    owners = stash(groups.where("n > 1"), "owners")
+    # payloads that many pages share are looked up where they are; other payloads move only if their owners are too many to broadcast
+    return look_up(keyed, owners.drop("n"), "hexed", owners, "left").select(
         "page_id", "url", "payload_bytes", "hexed",
         F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")).alias("refers_to"),
         F.when(F.col("page_id").eqNullSafe(F.col("least")) | F.col("least").isNull(), F.col("payload")).alias("payload"),
@@ -236,14 +242,16 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
                 headers = {
                     "WARC-Record-ID": f"<urn:uuid:{own}>", "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Target-URI": url or "",
                     "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "text/html; charset=utf-8",
-                    "X-Page-Id": "" if page is None else str(page), "X-Payload-Bytes": str(size),
+                    "X-Payload-Bytes": str(size),
                 }
+                if page is not None:
+                    headers["X-Page-Id"] = quote(str(page), safe="")
                 if refers is None:
                     name, _ = out.put(encode("response", headers, (payload or "").encode()))
                 else:
                     headers["WARC-Refers-To"] = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{refers}')}>"
                     headers["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-                    headers["X-Refers-To-Page"] = str(refers)
+                    headers["X-Refers-To-Page"] = quote(str(refers), safe="")
                     name, _ = out.put(encode("revisit", headers, b""))
                 made[name] = made.get(name, 0) + 1
         out.close()
@@ -253,26 +261,52 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     return stash(rows.mapInArrow(run, "name string, records long"), "archives")
 
 
+class Lost(RuntimeError):
+    """Archives that were just written do not give back what went in."""
+
+
+def log_gaps(read: DataFrame, most: int = 100) -> int:
+    """Number of the gaps among ``read`` records and gaps; the first ``most`` are logged, all of them stay rows of ``read``."""
+    gaps = read.where("kind = 'gap'").select("name", "start", "end", "reason")
+    n = gaps.count()
+    for r in gaps.orderBy("name", "start").limit(most).collect() if n else ():
+        LOG.warning("%s: bytes %d to %d quarantined: %s", r["name"], r["start"], r["end"], r["reason"])
+    return n
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from the archives.
 
-    Extra columns are ignored, repeated rows have a record each, an empty table gives an empty result.
+    A gap in the archives, or fewer records than were written, raises ``Lost``. Extra columns are ignored, repeated rows
+    have a record each, an empty table gives an empty result.
     """
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
     folder = new_path(spark, "warc")
-    archives = write_archives(pages, folder, least_bytes, archive_bytes)
-    names = archives.count()
-    got = read_archives(archives.select("name").repartition(max(1, min(names, 100_000)), "name"), folder)
+    return pages_of(write_archives(pages, folder, least_bytes, archive_bytes), folder, kind)
+
+
+def pages_of(archives: DataFrame, folder: str, kind: str = "long") -> DataFrame:
+    """What ``round_trip`` returns, of the archives (name, records) in ``folder``."""
+    sizes = archives.agg(F.count("*").alias("names"), F.coalesce(F.sum("records"), F.lit(0)).alias("records")).first()
+    got = read_archives(archives.select("name").repartition(max(1, min(sizes["names"], 100_000)), "name"), folder)
     h = F.col("headers")
     response = h["warc-type"] == "response"
-    return got.where("kind = 'record'").select(
-        F.nullif(h["x-page-id"], F.lit("")).cast(kind).alias("page_id"),
-        F.when(response, F.octet_length("block")).otherwise(h["x-payload-bytes"].cast("long")).cast("long").alias("payload_bytes"),
-        F.when(response, base32_of(F.sha1("block"))).otherwise(F.substring(h["warc-payload-digest"], 6, 32)).alias("payload_digest"),
-        h["warc-type"].alias("record_type"),
-        h["x-refers-to-page"].cast(kind).alias("refers_to"),
+    read = stash(
+        got.select(
+            "kind", "name", "start", "end", "reason",
+            F.url_decode(h["x-page-id"]).cast(kind).alias("page_id"),
+            F.when(response, F.octet_length("block")).otherwise(h["x-payload-bytes"].cast("long")).cast("long").alias("payload_bytes"),
+            F.when(response, base32_of(F.sha1("block"))).otherwise(F.substring(h["warc-payload-digest"], 6, 32)).alias("payload_digest"),
+            h["warc-type"].alias("record_type"),
+            F.url_decode(h["x-refers-to-page"]).cast(kind).alias("refers_to"),
+        ),
+        "read",
     )
+    gaps, records = log_gaps(read), read.where("kind = 'record'").count()
+    if gaps or records != sizes["records"]:
+        raise Lost(f"{records} of {sizes['records']} records and {gaps} gaps in {folder}")
+    return read.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
