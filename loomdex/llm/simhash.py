@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm.components import connected_components
+from loomdex.llm.skew import look_up
 from loomdex.runtime import stash
 
 STEP = 1 << 15
@@ -49,17 +50,25 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, fp, *carry): fp as a signed long. Whole texts; null and blank ones have 0."""
-    kind = documents.schema[id_col].dataType.simpleString()
+def with_fingerprints(rows: DataFrame, text_col: str, keep_text: bool = True, shingle: int = 3) -> DataFrame:
+    """``rows`` with fp, a signed long, of the whole texts; null and blank ones have 0. The text goes unless ``keep_text``."""
+    at = rows.columns.index(text_col)
+    left = [f for f in rows.schema if keep_text or f.name != text_col]
+    names = [f.name for f in left] + ["fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["id", "fp", *carry])
+            t = b.column(at).cast(pa.binary())
+            fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in t), np.uint64, b.num_rows)
+            own = [c for i, c in enumerate(b.columns) if keep_text or i != at]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(fp.view(np.int64))], names=names)
 
-    more = "".join(f", {c} {documents.schema[c].dataType.simpleString()}" for c in carry)
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), *carry).mapInArrow(run, f"id {kind}, fp long{more}")
+    return rows.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in left) + "fp long")
+
+
+def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
+    """(id, fp) of (doc_id, text)."""
+    return with_fingerprints(documents.select(F.col("doc_id").alias("id"), "text"), "text", False, shingle)
 
 
 def _flip(x: Column, bit: Column) -> Column:
@@ -119,23 +128,34 @@ def simhash_components(documents: DataFrame, bucket: int = 512) -> DataFrame:
     link like any other. Repeated rows each return a row.
     """
     fps = stash(fingerprints(documents), "fp")
-    reps = stash(fps.groupBy("fp").agg(F.min("id").alias("least")), "reps")
+    reps = stash(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "reps")
     pairs = stash(links(reps, bucket), "links")
     roots = connected_components(pairs).select(F.col("node").alias("fp"), "root")
     small = roots.join(reps, "fp").groupBy("root").agg(F.min("least").alias("c"))
     linked = roots.join(small, "root").select("fp", "c")
     comp = reps.join(linked, "fp", "left").select("fp", F.coalesce("c", "least").alias("component_id"))
-    return fps.join(comp, "fp").select(
+    return look_up(fps, comp, "fp", reps).select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def first_rows(documents: DataFrame, key: str, bucket: int = 512) -> DataFrame:
-    """``key`` of one row of each component: that with the smallest doc_id, null ids last, then the smallest key."""
-    fps = stash(fingerprints(documents, carry=(key,)), "fp")
-    order = F.struct(F.col("id").isNull().alias("void"), "id", F.col(key).alias("key"))
-    reps = stash(fps.groupBy("fp").agg(F.min(order).alias("least")), "reps")
+def one_of_each(documents: DataFrame, bucket: int = 512) -> DataFrame:
+    """One row of each component with all its columns: that with the smallest doc_id, null ids last, then the first as stored.
+
+    Documents are written once with their fingerprints and numbered; only numbers and fingerprints are shuffled to decide. The
+    rows that go are told apart by a look-up of their numbers.
+    """
+    columns = documents.columns
+    named = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    fps = stash(with_fingerprints(named, f"c{columns.index('text')}").withColumn("row", F.monotonically_increasing_id()), "fp")
+    order = F.struct(F.col("id").isNull().alias("void"), "id", "row")
+    least = fps.select("fp", F.col(f"c{columns.index('doc_id')}").alias("id"), "row")
+    reps = stash(least.groupBy("fp").agg(F.min(order).alias("least")), "reps")
     pairs = stash(links(reps, bucket), "links")
     roots = connected_components(pairs).select(F.col("node").alias("fp"), "root")
     found = reps.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    return found.select(F.col("least.key").alias(key))
+    kept = stash(found.select(F.col("least.row").alias("row")), "kept")
+    gone = stash(fps.select("row").join(kept, "row", "left_anti"), "gone")
+    small = gone.count() * 16 <= 32 << 20
+    out = fps.join(F.broadcast(gone), "row", "left_anti") if small else fps.join(kept, "row", "left_semi")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
