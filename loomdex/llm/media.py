@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm.files import Opened, Rolling
+from loomdex.llm.skew import look_up
 from loomdex.runtime import new_path, stash
 
 UNIT = 576
@@ -162,9 +163,9 @@ def resolve(stored: DataFrame) -> DataFrame:
         full.groupBy("payload").agg(F.min("media").alias("media"), F.min(F.transform("chunks", lambda c: c["digest"])).alias("digests")), "media"
     )
     every = full.select(F.explode("chunks").alias("c")).select("c.*")
-    addresses = stash(every.groupBy("digest").agg(F.min(F.struct("name", "offset", "stored", "raw")).alias("address")), "addresses")
+    addresses = stash(every.groupBy("digest").agg(F.min(F.struct("name", "offset", "stored", "raw")).alias("address"), F.count("*").alias("n")), "addresses")
     listed = media.select("payload", "media", F.posexplode("digests").alias("seq", "digest"))
-    found = listed.join(addresses, "digest").select("payload", "media", F.struct("seq", "address.*", "digest").alias("c"))
+    found = look_up(listed, addresses.drop("n"), "digest", addresses).select("payload", "media", F.struct("seq", "address.*", "digest").alias("c"))
     return found.groupBy("payload", "media").agg(F.array_sort(F.collect_list("c")).alias("chunks"))
 
 
@@ -212,4 +213,4 @@ def media_columns(documents: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFra
     folder = new_path(documents.sparkSession, "packs")
     stored = store(documents, folder, pack_bytes)
     rebuilt = stash(rebuild(resolve(stored), folder), "rebuilt")
-    return stored.select("doc_id", "n_bytes", "payload").join(rebuilt, "payload").drop("payload")
+    return look_up(stored.select("doc_id", "n_bytes", "payload"), rebuilt, "payload").drop("payload")
