@@ -7,7 +7,7 @@ capitals, of marks, and of distinct words, in bins). Rates r minimise
 
     sum over domains ((expected tokens - target) / total)^2 + ridge * mean over tokens (r - 1)^2,  r >= 0
 
-by projected gradient over cells of like posteriors. The driver holds one multiplier per domain, and a document's
+by projected gradient, first over cells of like posteriors, then over the documents themselves. The driver holds one multiplier per domain, and a document's
 rate is a function of its posterior and these, so nothing but sums moves. Everything on rows is DataFrame functions.
 """
 
@@ -38,14 +38,14 @@ def with_features(documents: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
 
     def share(chars: str) -> Column:
-        return (F.col("__n") - F.length(F.translate(t, chars, ""))) / F.col("__n")
+        return (F.length(t) - F.length(F.translate(t, chars, ""))) / F.col("__n")
 
     def bin_(name: str, x: Column, edges: list[float]) -> Column:
         return F.concat(F.lit(f" {name}"), sum((F.when(x > e, 1).otherwise(0) for e in edges), F.lit(0)).cast("string"))
 
-    out = documents.withColumns({"__n": F.greatest(F.length(t), F.lit(1)), "__w": F.split(F.lower(F.trim(t)), r"\s+")})
-    out = out.withColumns({"__d": F.array_distinct("__w"), "n_tokens": F.when(F.col("__w")[0] == "", F.size("__w") - 1).otherwise(F.size("__w")).cast("long"), "__c": share(UPPER), "__m": share(MARKS)})
-    out = out.withColumns({"__u": F.size("__d") / F.size("__w"), "__z": F.log2(F.col("n_tokens") + F.lit(1.0))})
+    out = documents.withColumns({"__n": F.greatest(F.length(t), F.lit(1)), "__w": F.array_remove(F.split(F.lower(t), r"\s+"), "")})
+    out = out.withColumns({"__d": F.array_distinct("__w"), "n_tokens": F.size("__w").cast("long"), "__c": share(UPPER), "__m": share(MARKS)})
+    out = out.withColumns({"__u": F.size("__d") / F.greatest("n_tokens", F.lit(1)), "__z": F.log2(F.col("n_tokens") + F.lit(1.0))})
     shape = F.array(
         bin_("capitals", F.col("__c"), [0.05, 0.15, 0.4]),
         bin_("marks", F.col("__m"), [0.02, 0.05, 0.1, 0.2]),
@@ -121,10 +121,9 @@ def posteriors(documents: DataFrame, base: dict[str, float], present: dict[str,
 
 
 def cells_of(soft: DataFrame, width: int) -> DataFrame:
-    """(cell, tokens, post): rows of like posterior (to 1/GRID) together, with their tokens and mean posterior.
+    """(cell, tokens, rows, s0, ...): rows of like posterior (to 1/GRID) together, with their tokens and posterior sums.
 
-    The objective treats rows of equal posterior alike, and rates are linear where they aren't zero, so the cells' mean
-    posteriors lose next to nothing. Cells are bounded by the grid, not by rows.
+    Cells only find a start for the solver, which ends on the rows themselves.
     """
     w = F.greatest(F.col("n_tokens"), F.lit(0)).cast("double")
     return soft.select("cell", "n_tokens", "post").groupBy("cell").agg(
@@ -133,17 +132,20 @@ def cells_of(soft: DataFrame, width: int) -> DataFrame:
 
 
 def solve(cells: DataFrame, targets: list[float], steps: int, ridge: float) -> list[float]:
-    """The multipliers whose ``rate_of`` a posterior minimises the objective.
+    """``descend`` over cells (tokens, s0, ...)."""
+    post = F.array(*[F.coalesce(F.try_divide(F.col(f"s{i}"), F.col("tokens")), F.lit(0.0)) for i in range(len(targets))])
+    return descend(stash(cells.select("tokens", post.alias("post")), "cells"), targets, steps, ridge)
+
+
+def descend(table: DataFrame, targets: list[float], steps: int, ridge: float, start: list[float] | None = None) -> list[float]:
+    """The multipliers whose ``rate_of`` a posterior minimises the objective over (tokens, post).
 
     The objective's gradient lies in the span of the posteriors and of r - 1, so from r = 1 on every iterate is
     the projection of 1 minus a combination of posteriors. A step moves that combination along the gradient, scaled by
-    the inverse Gram matrix of the cells that aren't at zero, halved until the convex dual falls. One
+    the inverse Gram matrix of the rows that aren't at zero, halved until the convex dual falls. One
     distributed aggregation a step; 1 + d + d * d sums are all that reaches the driver.
     """
     d = len(targets)
-    post = F.array(*[F.coalesce(F.try_divide(F.col(f"s{i}"), F.col("tokens")), F.lit(0.0)) for i in range(d)])
-    # a cell per point of the grid at most: few enough for one file
-    table = stash(cells.select("tokens", post.alias("post")).coalesce(1), "cells")
     total = table.agg(F.sum("tokens")).first()[0] or 0.0
     if total <= 0:
         return [0.0] * d
@@ -161,7 +163,7 @@ def solve(cells: DataFrame, targets: list[float], steps: int, ridge: float) -> l
         slope = ridge * lam - (x[1 : 1 + d] - goal)
         return ridge / 2 * lam @ lam + x[0] / 2 + goal @ lam, slope, x[1 + d :].reshape(d, d) + ridge * np.eye(d)
 
-    lam = np.zeros(d)
+    lam = np.zeros(d) if start is None else np.array(start)
     value, slope, curve = sums(lam)
     for _ in range(steps):
         if np.abs(slope).max() < 1e-6:
@@ -191,10 +193,10 @@ def mix(
     """``documents`` with n_tokens, post, rate and copies.
 
     ``targets`` are shares, scaled to ``budget`` times all tokens. copies is floor(rate) plus one with
-    the probability of the fraction, decided by a hash of doc_id. Null and empty texts have no tokens and
+    the probability of the fraction, decided by a hash of doc_id and text. Null and empty texts have no tokens and
     get the rate of their posterior. Labelled classes outside ``targets`` get target 0. Without labels all
-    posteriors are equal. An empty table gives an empty result. Without ``keep_text`` the scores are written once and
-    the texts read once; with it, texts are scored a second time rather than shuffled or written.
+    posteriors are equal. An empty table gives an empty result. Texts are read and scored once and the scores written once,
+    with the texts only if ``keep_text``.
     """
     base, present = fit(documents, labels, sample, top)
     domains = sorted({*targets, *base})
@@ -202,13 +204,13 @@ def mix(
     goal = [budget * targets.get(d, 0.0) / whole for d in domains]
     key = F.transform("post", lambda x: F.round(x * GRID).cast("int"))
     soft = posteriors(documents, base, present, domains)
-    soft = soft.withColumn("cell", key)
-    if not keep_text:
-        soft = stash(soft.drop("text"), "posteriors")
-    lam = solve(cells_of(soft, len(domains)), goal, steps, ridge)
+    soft = soft.withColumns({"cell": key, "__u": F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(1 << 24)) / F.lit(float(1 << 24))})
+    soft = stash(soft if keep_text else soft.drop("text"), "posteriors")
+    rows = soft.select(F.greatest("n_tokens", F.lit(0)).cast("double").alias("tokens"), "post")
+    lam = descend(rows, goal, steps, ridge, solve(cells_of(soft, len(domains)), goal, steps, ridge))
     out = soft.drop("cell").withColumn("rate", rate_of(F.col("post"), lam))
-    u = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    return out.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    more = F.when(F.col("__u") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return out.withColumn("copies", (F.floor("rate") + more).cast("int")).drop("__u")
 
 
 def rates(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -221,6 +223,7 @@ def rates(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def resample(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Each document ``copies`` times; the columns are those of ``documents``."""
-    # a filter on copies, or the one that explode infers, would be pushed below the scores and evaluate them many times over
-    out = mix(documents, labels, **options).withColumn("__i", F.explode_outer(F.array_repeat(F.lit(1), F.col("copies"))))
-    return out.where("__i is not null").select(*[F.col(f"`{c}`") for c in documents.columns])
+    columns = documents.columns
+    named = documents.select(*[F.col(f"`{c}`").alias(f"__c{i}" if c not in ("doc_id", "text") else c) for i, c in enumerate(columns)])
+    out = mix(named, labels, **options).withColumn("__i", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return out.select(*[F.col(f"__c{i}" if c not in ("doc_id", "text") else c).alias(c) for i, c in enumerate(columns)])
