@@ -63,6 +63,30 @@ def test_communication_matrix_is_exact_and_uniform():
     assert big.sum() == 4 * 10**9 and (big.sum(axis=0) == 2 * 10**9).all()
 
 
+@pytest.mark.parametrize("good, bad, n", [(5, 7, 6), (1, 0, 1), (3, 20, 22), (60, 40, 50), (4 * 10**10, 6 * 10**10, 3)])
+def test_hypergeometric_draws_follow_the_law(good, bad, n):
+    rng = np.random.default_rng(5)
+    draws = np.bincount([sharding.hypergeometric(rng, good, bad, n) for _ in range(4000)], minlength=n + 1)
+    law = np.array([math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(n + 1)])
+    assert (draws[law == 0] == 0).all()
+    likely = law * 4000 >= 5
+    assert ((draws - law * 4000)[likely] ** 2 / (law * 4000)[likely]).sum() < likely.sum() + 5 * (2 * likely.sum()) ** 0.5
+
+
+def test_hypergeometric_of_billions():
+    rng = np.random.default_rng(6)
+    x = np.array([sharding.hypergeometric(rng, 2 * 10**9, 6 * 10**9, 10**7) for _ in range(300)])
+    sd = (10**7 * 0.25 * 0.75) ** 0.5
+    assert abs(x.mean() - 2.5 * 10**6) < 4 * sd / 300**0.5 and 0.85 < x.std() / sd < 1.15
+
+
+def test_hot_rows_are_spread(spark):
+    d = spark.range(40_000).select(F.when(F.col("id") >= 20_000, F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    got = sharding.shard_documents(d, 8)
+    r = got.groupBy("shard").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("hot"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count_distinct("slot").alias("d")).collect()
+    assert len(r) == 8 and all(x["n"] == x["d"] == 5000 and (x["lo"], x["hi"]) == (0, 4999) and 2300 < x["hot"] < 2700 for x in r)
+
+
 # 5: urls
 
 
@@ -80,6 +104,7 @@ def test_urls(spark):
     urls = [
         None, "", "no scheme", "://", "http://", "HTTP://A.Example.COM/en/7x?q#f", "http://example.com/en/8", "http://x.net/de/9", "https://example.net/de/81", "http://com/en/", "http://xcom/en/",
         "http://a.org/es/", "http://org/es", "http://a.b.c.com?x=/en/", "http://a.com#/en/", "http://a.com/en/\nb", "x://y://com/en/", "http://ÉX.com/en/", "http://.com/en/1", "http://com./en/",
+        "http://" + "a." * 20_000 + "com/en/7", "http://" + "b" * 300_000 + ".example.com/en/7/" + "c" * 300_000, "http://example..com/en/7",
     ] + ["http://a.com/en/1"] * 3
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, html string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_cascade.judge_urls(clash(pages)).collect()}
@@ -95,6 +120,8 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert len(levels) > 1
     wrong = universe.where(url_cascade.member(levels, F.col("k")) != F.col("k").like("%7"))
     assert wrong.count() == 0
+    plan = universe.select(url_cascade.member(levels, F.col("k")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "element_at(split(" not in plan and "element_at([" in plan  # filters are literals
 
 
 # 6: licences
@@ -235,6 +262,24 @@ def test_warc_round_trip(spark):
     assert small[9] == small[3] == "response" and small[8] == "revisit"
 
 
+def test_lost_pages_raise_and_gaps_are_logged(spark, tmp_path, caplog):
+    r = random.Random(1)
+    long = "".join(r.choices("abcdefgh <>", k=3_000_000))
+    pages = spark.createDataFrame([(f"p {i}+%\n", "u", long if i == 3 else f"page {i}" * 50) for i in range(20)] + [("", "u", "empty id"), (None, "u", "no id")], "page_id string, url string, html string")
+    archives = warc.write_archives(pages.coalesce(1), f"file://{tmp_path}/w", archive_bytes=10_000)
+    back = {r["page_id"]: r for r in warc.pages_of(archives, f"file://{tmp_path}/w", "string").collect()}
+    assert set(back) == {f"p {i}+%\n" for i in range(20)} | {"", None}
+    assert back["p 3+%\n"]["payload_bytes"] == 3_000_000 and back["p 3+%\n"]["payload_digest"] == warc.digest32(long.encode())
+    damaged = min((tmp_path / "w").glob("*.warc.gz"), key=lambda p: p.stat().st_size)
+    raw = bytearray(damaged.read_bytes())
+    raw[len(raw) // 2] ^= 255
+    damaged.write_bytes(bytes(raw))
+    (tmp_path / "w" / f".{damaged.name}.crc").unlink(missing_ok=True)
+    with caplog.at_level("WARNING"), pytest.raises(warc.Lost, match="1 gaps"):
+        warc.pages_of(archives, f"file://{tmp_path}/w", "string")
+    assert damaged.name in caplog.text and "quarantined" in caplog.text
+
+
 def archive(packed):
     return [warc.encode("response", {"X-Page-Id": str(i)}, f"body {i} ".encode() * 40, packed) for i in range(12)]
 
@@ -402,6 +447,19 @@ def test_token_cache_equals_the_tokenizer():
         assert e.ids(t) == np.array(e.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_grouping_reaches_the_bound():
+    r = random.Random(3)
+    lengths = [min(2048, max(1, int(r.lognormvariate(6, 1.3)))) for _ in range(8000)]
+    hist = {n: lengths.count(n) for n in set(lengths)}
+    runs = packing.plan(hist)
+    assert sum(c for c, _ in runs) == -(-sum(lengths) // 2048)
+    placed = {}
+    for count, content in runs:
+        for n, k in content:
+            placed[n] = placed.get(n, 0) + count * k
+    assert placed == hist
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_place_every_piece(seed):
     r = random.Random(seed)
@@ -591,6 +649,45 @@ def test_mixing_meets_its_targets(spark, docs_of):
     assert mixing.rates(d, labels.where("false")).count() == d.count() and mixing.rates(d.where("false"), labels).count() == 0
 
 
+def bag_of(text):
+    import re
+
+    t = text or ""
+    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", t.lower()) if x]
+    share = [sum(c in kind for c in t) / max(1, len(t)) for kind in (mixing.UPPER, mixing.MARKS)]
+    bins = lambda name, x, edges: f" {name}{sum(x > e for e in edges)}"
+    shape = [
+        bins("capitals", share[0], [0.05, 0.15, 0.4]), bins("marks", share[1], [0.02, 0.05, 0.1, 0.2]),
+        bins("distinct", len(set(w)) / max(1, len(w)), [0.05, 0.15, 0.3, 0.45, 0.6]) + bins("size", np.log2(len(w) + 1), [3, 5, 7, 9]),
+    ]
+    return len(w), set(w) | set(shape)
+
+
+def test_posteriors_equal_brute_force(spark, docs_of):
+    r = random.Random(9)
+    kinds = [r.choice([(1, 0), (0, 0), (0, 1)]) for _ in range(120)]
+    own = {(1, 0): "river stone light", (0, 0): "buy! click OFFER", (0, 1): "vile click CURSE"}
+    all_texts = [" ".join(r.choices((own[k] + " the of and").split(), k=r.randint(1, 30))) for k in kinds] + [None, "", "\n", "a b\n", " a\tb ", "Ünïcode ÉTÉ!"]
+    d = docs_of(all_texts)
+    labels = spark.createDataFrame([(i, *k) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    base, present = mixing.fit(d, labels, 6000, 20)
+    names = [f"q{q}t{t}" for q, t in kinds]
+    bags = [bag_of(t) for t in all_texts]
+    for x in base:
+        assert base[x] == pytest.approx(math.log(names.count(x) / 120))
+    for f, lift in present.items():
+        every = (sum(f in bags[i][1] for i in range(120)) + 1) / 122
+        for x in base:
+            inside = sum(f in bags[i][1] for i in range(120) if names[i] == x)
+            assert lift[x] == pytest.approx(math.log((inside + every) / (names.count(x) + 1)) - math.log(every))
+    domains = sorted(base)
+    for row in mixing.posteriors(d, base, present, domains).collect():
+        n, bag = bags[row["doc_id"]]
+        z = np.array([base[x] + sum(present[f][x] for f in bag if f in present) for x in domains])
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert row["n_tokens"] == n and row["post"] == pytest.approx(want.tolist(), abs=1e-12)
+
+
 def test_solver_equals_a_dense_one(spark):
     rng = np.random.default_rng(3)
     post = rng.dirichlet([0.6, 0.3, 0.3], 50)
