@@ -3,25 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomdex.llm import kneser_ney, mixing, packing, simhash
 from loomdex.runtime import reach, stash
 
 
-KEY = "__row"
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a digest of the whole row: rows that share a doc_id, null or not, are judged one by one."""
-    return docs.withColumn(KEY, F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
-
-
-def _keep(keyed: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` whose digest is in ``keys``."""
-    return keyed.join(keys.select(KEY).distinct(), KEY, "left_semi")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the Kneser-Ney classifier accepts."""
     reach(spark)
@@ -31,8 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each SimHash component: that with the smallest doc_id (null ids last), once if it is repeated."""
     reach(spark)
-    keyed = _keyed(docs)
-    return _keep(keyed, simhash.first_rows(keyed, KEY)).dropDuplicates([KEY]).select(*docs.columns)
+    return simhash.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
