@@ -37,11 +37,15 @@ def tokenize(text: Column) -> Column:
     return F.transform(words(text), stem)
 
 
+#: Plural endings, the words that keep them, letters dropped, letters put instead.
+ENDINGS = (("ies", ("eies", "aies"), 3, "y"), ("es", ("aes", "ees", "oes"), 1, ""), ("s", ("us", "ss"), 1, ""))
+
+
 def stem_word(w: str) -> str:
     w = w.lower()
     if len(w) <= 3:
         return w
-    for ending, exempt, drop, add in (("ies", ("eies", "aies"), 3, "y"), ("es", ("aes", "ees", "oes"), 1, ""), ("s", ("us", "ss"), 1, "")):
+    for ending, exempt, drop, add in ENDINGS:
         if w.endswith(ending):
             return w if w.endswith(exempt) else w[:-drop] + add
     return w

@@ -5,12 +5,15 @@ A change yields a new table; callers write it to a new version directory, never
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomdex.operators.ranking import global_rank
+
 
 def literal_ids(df: DataFrame, ids: Sequence[str], name: str) -> DataFrame:
     """(pos, name) of a driver-side list."""
@@ -26,10 +29,27 @@ def videos_of(videos: DataFrame, ids: Sequence[str]) -> DataFrame:
     return videos.where(F.col("video_id").isin(list(dict.fromkeys(ids))))
 
 
+def video_of_post(videos: DataFrame, blog_url: str) -> DataFrame:
+    """The video of a blog post."""
+    return videos.where(F.col("blog_url") == blog_url)
+
+
+def chunk_by_id(chunks: DataFrame, chunk_id: str, base: str = "ordinal") -> DataFrame:
+    """One chunk. Where the id's leading number is the column ``base``, the scan can skip row groups by it."""
+    number = re.match(r"(0|[1-9]\d{0,17})_", chunk_id)
+    near = chunks.where(F.col(base) == int(number[1])) if number else chunks.where("false")
+    return near.where(F.col("chunk_id") == chunk_id)
+
+
 def chunks_of_vectors(chunks: DataFrame, embeddings: DataFrame, run_id: str) -> DataFrame:
     return embeddings.where(F.col("run_id") == run_id).select("chunk_id").join(chunks, "chunk_id")
 
 
+def run_vectors(embeddings: DataFrame, run_id: str) -> DataFrame:
+    """(chunk_id, embedding) of a run."""
+    return embeddings.where(F.col("run_id") == run_id).select("chunk_id", "embedding")
+
+
 def pending(chunks: DataFrame, embeddings: DataFrame, run_id: str) -> DataFrame:
     """Chunks without a vector in the run."""
     done = embeddings.where(F.col("run_id") == run_id).select("chunk_id")
@@ -49,20 +69,18 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: str | None
 
 
 def upsert_chunks(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Known chunks get new text, summary and places and keep ordinal, video and index; unknown ones go behind the last ordinal."""
-    renew = ("text", "summary", "start_char", "end_char")
+    """Known chunks get all else from ``incoming`` and keep ordinal, video and index; unknown ones go behind the last ordinal, by chunk_id."""
+    renew = [c for c in existing.columns if c not in ("ordinal", "chunk_id", "video_id", "chunk_idx")]
     fresh = incoming.select("chunk_id", *[F.col(c).alias(f"__{c}") for c in (*renew, "video_id", "chunk_idx")], F.lit(True).alias("__in"))
-    both = existing.join(fresh, "chunk_id", "full_outer")
-    last = existing.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("last"))  # one row
-    out = both.join(F.broadcast(last))
-    new = F.col("ordinal").isNull()
-    place = F.row_number().over(W.partitionBy("__fresh").orderBy("chunk_id"))
-    numbered = out.where(new).withColumn("__fresh", F.lit(1)).withColumn("ordinal", F.col("last") + place).drop("__fresh")
-    out = out.where(~new).unionByName(numbered)
-    return out.select(
-        "ordinal", "chunk_id", F.coalesce("video_id", "__video_id").alias("video_id"), F.coalesce("chunk_idx", "__chunk_idx").alias("chunk_idx"),
-        *[F.when(F.col("__in"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in renew],
-    )
+    known = existing.join(fresh, "chunk_id", "left")
+    last = existing.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("last")).first()["last"]
+    added = global_rank(fresh.join(existing.select("chunk_id"), "chunk_id", "left_anti"), "chunk_id", name="__place")
+    return known.select(
+        "ordinal", "chunk_id", "video_id", "chunk_idx", *[F.when(F.col("__in"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in renew]
+    ).unionByName(added.select(
+        (F.col("__place") + F.lit(last + 1)).alias("ordinal"), "chunk_id", F.col("__video_id").alias("video_id"), F.col("__chunk_idx").alias("chunk_idx"),
+        *[F.col(f"__{c}").alias(c) for c in renew],
+    ))
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -76,6 +94,10 @@ def promote(runs: DataFrame, run_id: str) -> DataFrame:
     return runs.withColumn("is_active", F.col("run_id") == run_id)
 
 
+def run_by_id(runs: DataFrame, run_id: str) -> DataFrame:
+    return runs.where(F.col("run_id") == run_id)
+
+
 def active_run(runs: DataFrame) -> DataFrame:
     return runs.where("is_active").limit(1)
 

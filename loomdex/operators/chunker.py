@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from loomdex.config import ChunkerConfig
 from loomdex.functions.text import tokens_of
 
+#: Fixed value: what a segment is.
 SEGMENT = re.compile(r"\S.*?(?:[.!?]+(?:\s|\n|$)|(?:\n\n+|$))", re.DOTALL)
 #: With the white space before each segment, matches tile the text.
-TILES = r"(?s)\s*\S.*?(?:[.!?]+(?:\s|\z)|(?:\n\n+|\z))"
+TILES = r"(?sU)\s*\S.*?(?:[.!?]+(?:\s|\z)|(?:\n\n+|\z))"
 Embed = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
@@ -41,6 +42,17 @@ def overlap(left: list[str], right: list[str]) -> float:
     return sum((Counter(left) & Counter(right)).values()) / max(len(left), len(right))
 
 
+def overlap_of(left: Column, right: Column) -> Column:
+    """``overlap`` of two columns of word arrays."""
+    most, least = F.greatest(F.size(left), F.size(right)), F.least(F.size(left), F.size(right))
+
+    def times(words: Column, w: Column) -> Column:
+        return F.size(F.filter(words, lambda x: x == w))
+
+    common = F.aggregate(F.array_intersect(left, right), F.lit(0), lambda s, w: s + F.least(times(left, w), times(right, w)))
+    return F.when(least > 0, common / most).otherwise(F.lit(0.0))
+
+
 def window_overlaps(words: list[list[str]], window: int) -> list[float]:
     """``overlap`` of the ``window`` segments before and after each inner border; every word enters and leaves each side once."""
     sides = Counter(), Counter(w for ws in words[:window] for w in ws)
@@ -143,13 +155,14 @@ def slices(text: Column, cut: Column, extra: int = 0) -> Column:
 
 
 def chunks_of(posts: DataFrame, extra: int = 200) -> DataFrame:
-    """chunk_id, video_id, chunk_idx, text, embed_text, start_char, end_char of posts (video_id, transcript, borders)."""
+    """chunk_id, video_id, chunk_idx, text, embed_text, summary, start_char, end_char of posts (video_id, transcript, borders)."""
+    summary = F.nullif(F.col("summary_markdown"), F.lit("")) if "summary_markdown" in posts.columns else F.lit(None).cast("string")
     both = posts.select(
-        "video_id", F.explode(F.arrays_zip(slices(F.col("transcript"), F.col("borders")).alias("s"), slices(F.col("transcript"), F.col("borders"), extra).alias("e"))).alias("z")
+        "video_id", summary.alias("summary"), F.explode(F.arrays_zip(slices(F.col("transcript"), F.col("borders")).alias("s"), slices(F.col("transcript"), F.col("borders"), extra).alias("e"))).alias("z")
     )
     return both.select(
         F.concat_ws("_", "video_id", F.col("z.s.idx").cast("string")).alias("chunk_id"), "video_id", F.col("z.s.idx").alias("chunk_idx"),
-        F.col("z.s.text").alias("text"), F.col("z.e.text").alias("embed_text"), F.col("z.s.start_char").alias("start_char"), F.col("z.s.end_char").alias("end_char"),
+        F.col("z.s.text").alias("text"), F.col("z.e.text").alias("embed_text"), "summary", F.col("z.s.start_char").alias("start_char"), F.col("z.s.end_char").alias("end_char"),
     )
 
 

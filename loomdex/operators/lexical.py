@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -20,6 +20,8 @@ from loomdex.config import RetrievalConfig
 from loomdex.functions.text import fast_similarity, quote, tokenize, tokens_of
 
 BUCKETS = 64
+#: Words whose document frequency an index object keeps in mind.
+REMEMBER = 100_000
 
 
 def bucket(term: Column, buckets: int = BUCKETS) -> Column:
@@ -51,6 +53,7 @@ class LexicalIndex:
     corpus: DataFrame
     config: RetrievalConfig = RetrievalConfig()
     _figures: tuple[int, float] | None = None
+    _known: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def build(cls, chunks: DataFrame, config: RetrievalConfig = RetrievalConfig(), cache: bool = True) -> LexicalIndex:
@@ -85,12 +88,23 @@ class LexicalIndex:
         table = [r[0] for r in spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("t")).select(bucket(F.col("t"))).distinct().collect()]
         return self.postings.where(F.col("bucket").isin(table) & F.col("term").isin(terms))
 
+    def frequencies(self, tokens: list[str]) -> dict[str, int]:
+        """Documents that have each token, 0 for unknown ones. An index never changes, so answers are kept, the last ``REMEMBER``."""
+        new = [t for t in dict.fromkeys(tokens) if t not in self._known]
+        if new:
+            found = self.hits(new).groupBy("term").agg(F.count("*").alias("df")).collect()  # a row per query word
+            if len(self._known) + len(new) > REMEMBER:
+                self._known.clear()
+                new = list(dict.fromkeys(tokens))
+                found = self.hits(new).groupBy("term").agg(F.count("*").alias("df")).collect()
+            self._known |= {t: 0 for t in new} | {r["term"]: r["df"] for r in found}
+        return {t: self._known[t] for t in tokens}
+
     def weights(self, tokens: list[str]) -> dict[str, float]:
         """token -> times in the query * idf, for those in the vocabulary."""
-        times = Counter(tokens)
         n, _ = self.figures()
-        found = self.hits(list(times)).groupBy("term").agg(F.count("*").alias("df")).collect()  # a row per query word
-        return {r["term"]: times[r["term"]] * math.log((n + 1) / r["df"]) for r in found}
+        df = self.frequencies(tokens)
+        return {t: times * math.log((n + 1) / df[t]) for t, times in Counter(tokens).items() if df[t]}
 
     def gains(self, weights: dict[str, float]) -> tuple[DataFrame, float]:
         """((ordinal, gain) of matching documents, score of all others). Scores add up to base + gain."""
@@ -117,10 +131,20 @@ class LexicalIndex:
         gains, base = self.gains(weights)
         score = F.round(F.lit(base) + F.col("gain"), 6)
         best = gains.select("ordinal", score.alias("score")).orderBy(F.desc("score"), "ordinal").limit(k)
-        others = self.docs.join(gains.select("ordinal"), "ordinal", "left_anti").select("ordinal", F.round(F.lit(base), 6).alias("score")).orderBy("ordinal").limit(k)
-        top = best.unionByName(others).orderBy(F.desc("score"), "ordinal").limit(k)
+        top = best
+        if max(self.frequencies(tokens).values()) < k:  # else one word alone fills the list
+            others = self.docs.join(gains.select("ordinal"), "ordinal", "left_anti").select("ordinal", F.round(F.lit(base), 6).alias("score")).orderBy("ordinal").limit(k)
+            top = best.unionByName(others).orderBy(F.desc("score"), "ordinal").limit(k)
         rank = F.row_number().over(W.orderBy(F.desc("score"), "ordinal")) - 1  # k rows
-        return top.join(self.docs.select("ordinal", "chunk_id"), "ordinal").withColumn("rank", rank).select("rank", "ordinal", "chunk_id", "score")
+        return F.broadcast(top).join(self.docs.select("ordinal", "chunk_id"), "ordinal").withColumn("rank", rank).select("rank", "ordinal", "chunk_id", "score")
+
+    def phrase_bound(self, phrase: str) -> int:
+        """At most so many documents can hold the phrase: those with its rarest stem, and those with its stems as one word."""
+        stems = tokens_of(phrase)
+        if not stems:
+            return 0
+        df = self.frequencies([*stems, "".join(stems)])
+        return min(df[t] for t in stems) + (df["".join(stems)] if len(stems) > 1 else 0)
 
     def phrase_candidates(self, stems: list[str]) -> DataFrame:
         """Ordinals of documents with all stems, or with their concatenation as one word."""
@@ -148,8 +172,14 @@ class LexicalIndex:
     def unknown_terms(self, query: str) -> list[str]:
         """Distinct stems of the query, long enough, in order, that no document has."""
         terms = [t for t in dict.fromkeys(tokens_of(query)) if len(t) >= self.config.min_word]
-        known = {r[0] for r in self.hits(terms).select("term").distinct().collect()} if terms else set()
-        return [t for t in terms if t not in known]
+        df = self.frequencies(terms)
+        return [t for t in terms if not df[t]]
+
+    def unknown_in(self, queries: DataFrame, *ids: str, text: str = "text") -> DataFrame:
+        """(*ids, pos, term) of ``unknown_terms`` for a table of queries; pos is the first place of the stem among the query's."""
+        each = queries.select(*ids, F.posexplode(tokenize(F.col(text))).alias("pos", "term")).where(F.length("term") >= self.config.min_word)
+        first = each.groupBy(*ids, "term").agg(F.min("pos").alias("pos"))
+        return first.join(self.terms.select("term"), "term", "left_anti").select(*ids, "pos", "term")
 
     def suggest(self, query: str) -> DataFrame:
         """(pos, term, suggestion, score) for unknown words: the most similar known word, ties by word; null below the cutoff."""

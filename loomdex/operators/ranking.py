@@ -14,11 +14,18 @@ from loomdex.runtime import stash
 LISTS = "list_no int, weight double, rank long, chunk_id string"
 
 
-def global_rank(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+#: Rows that one task may rank.
+FEW = 200_000
+
+
+def global_rank(df: DataFrame, *order: Column | str, name: str = "rank", bound: int | None = None) -> DataFrame:
     """0-based place in a total order, for tables of any size: a range-partitioned sort, then offsets per partition.
 
-    The sorted rows are written once. Only one count per partition is gathered.
+    The sorted rows are written once. Only one count per partition is gathered. A table that is known to have ``bound`` rows at
+    most, and that no more than FEW, is ranked by one task in the plan of its reader; the places are the same.
     """
+    if bound is not None and bound <= FEW:
+        return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long") - 1)
     placed = stash(df.orderBy(*order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "ranked")
     counts = placed.groupBy("__p").agg(F.count("*").alias("c")).withColumn(
         "before", F.coalesce(F.sum("c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -27,19 +34,20 @@ def global_rank(df: DataFrame, *order: Column | str, name: str = "rank") -> Data
     return placed.join(F.broadcast(counts.drop("c")), "__p").withColumn(name, F.col("before") + F.col("__i")).drop("__p", "__i", "before")
 
 
-def phrase_tiers(lists: list[DataFrame]) -> DataFrame:
+def phrase_tiers(lists: list[DataFrame], bound: int | None = None) -> DataFrame:
     """(tier, rank, chunk_id) of phrase lists (rank, chunk_id): ALL holds chunks of every list, ANY those of one at least.
 
-    Order: best rank in any list, then the first list that has the chunk and its rank there.
+    ``bound`` is what all lists together may hold at most, if that is known. Order: best rank in any list, then the first list that has the chunk and its rank there.
     """
     if not lists:
         raise ValueError("no phrases")
     every = reduce(DataFrame.unionByName, [d.select(F.lit(i).alias("p"), F.col("rank").cast("long"), "chunk_id") for i, d in enumerate(lists)])
     best = every.groupBy("chunk_id").agg(F.min("rank").alias("best"), F.min(F.struct("p", "rank")).alias("first"), F.count_distinct("p").alias("n"))
-    any_ = global_rank(best, "best", "first").withColumn("tier", F.lit("ANY"))
-    if len(lists) == 1:
-        return any_.select(F.explode(F.array(F.lit("ALL"), F.lit("ANY"))).alias("tier"), "rank", "chunk_id")
-    all_ = global_rank(best.where(F.col("n") == len(lists)), "best", "first").withColumn("tier", F.lit("ALL"))
+    if len(lists) == 1:  # a list of distinct chunks is its own tier
+        best = lists[0].groupBy("chunk_id").agg(F.min("rank").cast("long").alias("best"))
+        return global_rank(best, "best", bound=bound).select(F.explode(F.array(F.lit("ALL"), F.lit("ANY"))).alias("tier"), "rank", "chunk_id")
+    any_ = global_rank(best, "best", "first", bound=bound).withColumn("tier", F.lit("ANY"))
+    all_ = global_rank(best.where(F.col("n") == len(lists)), "best", "first", bound=bound).withColumn("tier", F.lit("ALL"))
     return all_.unionByName(any_).select("tier", "rank", "chunk_id")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,6 +28,28 @@ def expand_query(query: str) -> str:
     return f"Discussion about {query}" if len(query.split()) <= 2 else query
 
 
+def pooled_query_embedder(embed: Callable[[list[str]], Sequence[Sequence[float]]], width: int) -> Callable[[str], list[float]]:
+    """The query embedding of runs whose vectors were pooled to ``width``: put as a topic, embedded, pooled to means of neighbours, of unit length."""
+
+    def one(query: str) -> list[float]:
+        v = np.asarray(embed([expand_query(clean_query(query))])[0], np.float64)
+        if len(v) % width:
+            raise ValueError(f"{len(v)} components can't be pooled to {width}")
+        return unit(v.reshape(width, -1).mean(axis=1))
+
+    return one
+
+
+def native_query_embedder(embed: Callable[[list[str]], Sequence[Sequence[float]]]) -> Callable[[str], list[float]]:
+    return lambda query: list(embed([query])[0])
+
+
+def expanded(query: Column) -> Column:
+    """``expand_query`` of a column."""
+    few = F.size(F.filter(F.split(query, r"\s+"), lambda w: w != "")) <= 2
+    return F.when(few, F.concat(F.lit("Discussion about "), query)).otherwise(query)
+
+
 def validity(vectors: DataFrame, dimension: int, column: str = "embedding") -> DataFrame:
     """One row: rows, wrong_dimension, with_nan, zero_norm."""
     v = F.col(column)
@@ -57,6 +79,14 @@ class VectorIndex:
         table = vectors.select("ordinal", "chunk_id", normalize(F.col("embedding")).alias("embedding"))
         return cls(table.cache() if cache else table, embed)
 
+    def save(self, path: str) -> None:
+        """A new directory only: an index version never changes. Sorted by ordinal, so look-ups skip row groups."""
+        self.vectors.sort("ordinal").write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, embed=None) -> VectorIndex:
+        return cls(spark.read.parquet(path), embed)
+
     def search_vector(self, q: Sequence[float], k: int) -> DataFrame:
         """(rank, ordinal, chunk_id, score): the best k by inner product (six decimals), then ordinal."""
         score = F.round(dot_with(F.col("embedding"), unit(q)), 6)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.config import RetrievalConfig
+from loomdex.functions.text import tokens_of
+from loomdex.operators.catalog import active_run, run_vectors
 from loomdex.operators.lexical import LexicalIndex
 from loomdex.operators.ranking import global_rank, percentage_by_top, phrase_tiers, rank_list, reciprocal_rank_fusion
-from loomdex.operators.vector import VectorIndex
+from loomdex.operators.vector import VectorIndex, native_query_embedder, pooled_query_embedder
 from loomdex.plans.intent import Intent, analyze
 
 
@@ -46,7 +49,12 @@ class HybridEngine:
         return analyze(query, self.stopwords)
 
     def phrase_list(self, phrase: str) -> DataFrame:
-        return global_rank(self.lexical.phrase(phrase, self.chunks), F.desc("score"), "ordinal").select("rank", "chunk_id")
+        found = self.lexical.phrase(phrase, self.chunks)
+        return global_rank(found, F.desc("score"), "ordinal", bound=self.lexical.phrase_bound(phrase)).select("rank", "chunk_id")
+
+    def tiers(self, phrases: list[str]) -> DataFrame:
+        """Phrase tiers of the index's chunks; the index bounds how many there can be."""
+        return phrase_tiers([self.phrase_list(p) for p in phrases], sum(map(self.lexical.phrase_bound, phrases)))
 
     def ranked(self, query: str, top_k: int | None = None) -> DataFrame:
         """(rank, chunk_id, score, percentage_score, source), before any text is read."""
@@ -54,8 +62,11 @@ class HybridEngine:
         top_k = c.final_k if top_k is None else top_k
         ask = self.intent(query)
         semantic = self.vectors.search(query, c.per_engine) if ask.use_semantic and self.vectors is not None else None
+        if ask.exact_phrases:  # all words' frequencies at once
+            stems = [tokens_of(p) for p in (query, *ask.exact_phrases)]
+            self.lexical.frequencies([t for s in stems for t in (*s, "".join(s)) if t])
         lexical = self.lexical.search(query, c.per_engine)
-        tiers = phrase_tiers([self.phrase_list(p) for p in ask.exact_phrases]) if ask.exact_phrases else None
+        tiers = self.tiers(ask.exact_phrases) if ask.exact_phrases else None
         if semantic is None and (tiers is None or tiers.isEmpty()):
             return percentage_by_top(lexical.where(F.col("rank") < top_k), "bm25")
         lists = rank_list(lexical, 1, ask.weights["bm25"])
@@ -72,14 +83,26 @@ class HybridEngine:
         return [(r["term"], r["suggestion"]) for r in self.lexical.suggest(query).orderBy("pos").collect()]
 
 
-def build_engine(chunks: DataFrame, vectors: DataFrame | None, embedders: dict[str, object], runs: DataFrame | None = None, videos: DataFrame | None = None, config: RetrievalConfig = RetrievalConfig()) -> HybridEngine:
-    """The engine of the active run; its ``model_name`` picks the query embedder, so both use one space."""
+#: Fixed value: runs of this dimension hold vectors that were pooled from a wider model.
+POOLED = 512
+
+
+def query_embedder(dimension: int, embed: Callable[[list[str]], Sequence[Sequence[float]]], pooled: int = POOLED) -> Callable[[str], Sequence[float]]:
+    """How queries are embedded for a run, by its dimension alone, so that queries and vectors share one space."""
+    return pooled_query_embedder(embed, pooled) if dimension == pooled else native_query_embedder(embed)
+
+
+def build_engine(
+    chunks: DataFrame, vectors: DataFrame | None, embed: Callable[[list[str]], Sequence[Sequence[float]]] | None = None, runs: DataFrame | None = None,
+    videos: DataFrame | None = None, config: RetrievalConfig = RetrievalConfig(), lexical: LexicalIndex | None = None,
+) -> HybridEngine:
+    """The engine over the vectors of the active run; its dimension picks the way queries are embedded. No active run raises."""
     legs = None
     if vectors is not None and runs is not None:
-        active = runs.where("is_active").limit(1).collect()
+        active = active_run(runs).collect()
         if not active:
             raise ValueError("no active embedding run")
         run = active[0]
-        own = vectors.where(F.col("run_id") == run["run_id"]).join(chunks.select("chunk_id", "ordinal"), "chunk_id")
-        legs = VectorIndex.build(own, embedders[run["model_name"]])
-    return HybridEngine(chunks, LexicalIndex.build(chunks, config), legs, videos, config)
+        own = run_vectors(vectors, run["run_id"]).join(chunks.select("chunk_id", "ordinal"), "chunk_id")
+        legs = VectorIndex.build(own, query_embedder(run["dimension"], embed))
+    return HybridEngine(chunks, lexical or LexicalIndex.build(chunks, config), legs, videos, config)

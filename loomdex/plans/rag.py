@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from loomdex.functions.display import citations, context, highlight, highlight_terms, one_decimal, progress, timestamp, typo_notice, wants_highlight, STOPWORDS
 from loomdex.plans.engine import HybridEngine
 from loomdex.plans.intent import analyze
+from loomdex.sources.remote import PermanentError, TransientError
 
+LOG = logging.getLogger(__name__)
 SYSTEM_PROMPT = """You answer questions about recorded talks.
 1. Use nothing but the numbered excerpts of the message.
 2. Put the number of the excerpt in brackets after each statement it supports, as in [2].
@@ -72,10 +75,12 @@ def render(results: DataFrame, query: str) -> DataFrame:
 def respond(engine: HybridEngine, query: str, generate: Callable[..., str], k: int = 4) -> tuple[str, DataFrame, str | None]:
     """Spelling notice, rows to show, and the answer; a failing model leaves the rows and no answer."""
     notice = typo_notice(engine.check_query_terms(query))
-    found = engine.search(query, k)
+    found = engine.search(query, k).cache()
+    text = context(found).first()["context"]
     try:
-        answer = generate(SYSTEM_PROMPT, user_prompt(query, context(found).first()["context"]))
-    except Exception:
+        answer = generate(SYSTEM_PROMPT, user_prompt(query, text))
+    except (TransientError, PermanentError, OSError) as e:  # the model's failures; those of retrieval are raised
+        LOG.warning("no answer to %r: %s", query, e)
         answer = None
     return notice, render(found, query), answer
 

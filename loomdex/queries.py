@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.config import ChunkerConfig
-from loomdex.functions import display, text, vectors
+from loomdex.functions import codecs, display, text, vectors
 from loomdex.operators import catalog, chunker, vector
 from loomdex.operators.lexical import LexicalIndex, corpus_figures, document_frequencies, postings_of
 from loomdex.operators.ranking import global_rank, percentage_by_top, phrase_tiers, rank_list, reciprocal_rank_fusion
@@ -211,16 +211,20 @@ def phrase_candidates(spark, sf_dir):
     return lexical(spark, sf_dir).phrase_candidates(text.tokens_of(PHRASE))
 
 
+def phrase_ranks(spark, sf_dir, phrase: str) -> DataFrame:
+    index = lexical(spark, sf_dir)
+    found = index.phrase(phrase, chunks(spark, sf_dir))
+    return global_rank(found, F.desc("score"), "ordinal", bound=index.phrase_bound(phrase)).select("rank", "ordinal", "chunk_id", "score")
+
+
 @query(f"WITH {BASE}, {sql_phrase(PHRASE, 'f')} SELECT rank, ordinal, chunk_id, score FROM f")
 def phrase_exact(spark, sf_dir):
-    found = lexical(spark, sf_dir).phrase(PHRASE, chunks(spark, sf_dir))
-    return global_rank(found, F.desc("score"), "ordinal").select("rank", "ordinal", "chunk_id", "score")
+    return phrase_ranks(spark, sf_dir, PHRASE)
 
 
 @query(f"WITH {BASE}, {sql_phrase('th at', 'f')} SELECT rank, ordinal, chunk_id, score FROM f")
 def phrase_merged_token(spark, sf_dir):
-    found = lexical(spark, sf_dir).phrase("th at", chunks(spark, sf_dir))
-    return global_rank(found, F.desc("score"), "ordinal").select("rank", "ordinal", "chunk_id", "score")
+    return phrase_ranks(spark, sf_dir, "th at")
 
 
 def sql_tiers(names: list[str]) -> str:
@@ -234,14 +238,16 @@ def sql_tiers(names: list[str]) -> str:
 
 @query(f"WITH {BASE}, {', '.join(sql_phrase(p, f'f{i}') for i, p in enumerate(PHRASES))}, {sql_tiers(['f0', 'f1', 'f2'])} SELECT tier, rank, chunk_id FROM tiers")
 def phrase_tiers_multi(spark, sf_dir):
-    e = engine(spark, sf_dir)
-    return phrase_tiers([e.phrase_list(p) for p in PHRASES])
+    return engine(spark, sf_dir).tiers(list(PHRASES))
 
 
-@query("SELECT CAST(i AS INT) AS pos, term FROM (VALUES (0, 'xqzwplk'), (2, 'zzzqa')) t(i, term)")
+@query(
+    f"WITH {D}, v AS (SELECT DISTINCT unnest(toks) AS term FROM d), q AS (SELECT conv_id, turn, unnest(range(len(t))) AS pos, unnest(t) AS term FROM (SELECT conv_id, turn, {sql_tokens('text')} AS t FROM conversations)) "
+    "SELECT conv_id, turn, CAST(min(pos) AS INT) AS pos, term FROM q WHERE length(term) >= 4 AND term NOT IN (SELECT term FROM v) GROUP BY conv_id, turn, term"
+)
 def oov_terms(spark, sf_dir):
-    unknown = lexical(spark, sf_dir).unknown_terms("xqzwplk the zzzqa of xqzwplk")
-    return spark.createDataFrame([(2 * i, t) for i, t in enumerate(unknown)], "pos int, term string")
+    """Words of every conversation's turns that no document has."""
+    return lexical(spark, sf_dir).unknown_in(table(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
 @query()
@@ -286,11 +292,15 @@ def vector_validity(spark, sf_dir):
     return vector.validity(table(spark, sf_dir, "embeddings"), 64)
 
 
-@query("SELECT item_id, CASE WHEN len(string_split_regex(trim(q), '\\s+')) <= 2 THEN 'Discussion about ' || q ELSE q END AS expanded FROM (SELECT item_id, array_to_string(string_split(text, ' ')[1 : 1 + item_id % 4], ' ') AS q FROM benchmark)")
+@query(
+    "SELECT conv_id, turn, CASE WHEN len(list_filter(string_split_regex(q, '\\s+'), lambda x: x <> '')) <= 2 THEN 'Discussion about ' || q ELSE q END AS expanded "
+    "FROM (SELECT conv_id, turn, text AS q FROM conversations UNION ALL SELECT doc_id, -1, source FROM documents)"
+)
 def expand_query(spark, sf_dir):
-    q = F.array_join(F.slice(F.split("text", " "), 1, (1 + F.col("item_id") % 4).cast("int")), " ")
-    b = table(spark, sf_dir, "benchmark").select("item_id", q.alias("q"))
-    return b.select("item_id", F.when(F.size(F.split(F.trim("q"), r"\s+")) <= 2, F.concat(F.lit("Discussion about "), F.col("q"))).otherwise(F.col("q")).alias("expanded"))
+    """Every turn of a conversation and every document's source as a query."""
+    q = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("q"))
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), F.col("source").alias("q"))
+    return q.unionByName(sources).select("conv_id", "turn", vector.expanded(F.col("q")).alias("expanded"))
 
 
 # fusion and the engine
@@ -349,27 +359,29 @@ def percentage_of_top(spark, sf_dir):
     return percentage_by_top(lexical(spark, sf_dir).search(TERMS, 20), "bm25").withColumn("percentage_score", F.round("percentage_score", 4))
 
 
-INTENTS = "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN '\"' || w[1] || ' ' || w[2] || '\"' ELSE w[1] || ' ' || w[2] END || array_to_string(list_transform(w[3 : 2 + item_id % 5], lambda x: ' ' || x), '') || CASE WHEN item_id % 7 = 1 THEN ' ?' ELSE '' END AS q FROM (SELECT item_id, regexp_extract_all(text, '[a-zA-Z]+') AS w FROM benchmark)"
+INTENTS = (
+    "SELECT conv_id, turn, CASE kind WHEN 0 THEN t WHEN 1 THEN '\"' || t || '\"' WHEN 2 THEN chr(39) || t || chr(39) || ' and \"' || t || '\"' ELSE t || ' \"\" ?' END AS q, kind, "
+    "len(list_filter(string_split(t, ' '), lambda x: x <> '')) AS m FROM (SELECT conv_id, turn, conv_id % 4 AS kind, trim(regexp_replace(regexp_replace(text, '[\"'']', '', 'g'), '\\s+', ' ', 'g')) AS t FROM conversations)"
+)
 
 
 @query(
-    f"""WITH b AS ({INTENTS}), r AS (SELECT item_id, q, list_filter(string_split_regex(lower(replace(q, '"', ' ')), '\\s+'), lambda x: x <> '') AS raw, contains(q, '"') AS quoted FROM b),
-    s AS (SELECT *, len(raw) AS n, len(raw) - 2 AS extra, len(list_intersect(raw, ['how','what','why','when','where','who','is','can','does','do','should','could','would'])) > 0 OR contains(q, '?') AS is_question FROM r),
-    t AS (SELECT *, CASE WHEN quoted THEN 0.15 + least(greatest(extra, 0), 8) / 8 * 0.35 WHEN is_question OR n >= 5 THEN 0.8 WHEN n = 2 THEN 0.4 WHEN n = 1 THEN 0.3 ELSE 0.5 END::DOUBLE AS w FROM s)
-    SELECT item_id, CASE WHEN quoted THEN CAST(1 AS INT) ELSE CAST(0 AS INT) END AS n_phrases, is_question, round(w, 6) AS semantic, round(1 - w, 6) AS bm25, NOT quoted OR extra > 0 AS use_semantic FROM t"""
+    f"""WITH b AS ({INTENTS}), r AS (SELECT *, list_filter(string_split_regex(lower(replace(replace(q, '"', ' '), chr(39), ' ')), '\\s+'), lambda x: x <> '') AS raw, CASE kind WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS n_phrases FROM b),
+    s AS (SELECT *, len(raw) AS n, len(raw) - n_phrases * m AS extra, len(list_intersect(raw, ['how','what','why','when','where','who','is','can','does','do','should','could','would'])) > 0 OR contains(q, '?') AS is_question FROM r),
+    t AS (SELECT *, CASE WHEN n_phrases > 0 THEN 0.15 + least(greatest(extra, 0), 8) / 8 * 0.35 WHEN is_question OR n >= 5 THEN 0.8 WHEN n = 2 THEN 0.4 WHEN n = 1 THEN 0.3 ELSE 0.5 END::DOUBLE AS w FROM s)
+    SELECT conv_id, turn, CAST(n_phrases AS INT) AS n_phrases, is_question, round(w, 6) AS semantic, round(1 - w, 6) AS bm25, n_phrases = 0 OR extra > 0 AS use_semantic FROM t"""
 )
 def intent_batch(spark, sf_dir):
-    w = F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))
-    b = table(spark, sf_dir, "benchmark").select("item_id", w.alias("w"))
-    two = F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))
-    q = F.concat(
-        F.when(F.col("item_id") % 3 == 0, F.concat(F.lit('"'), two, F.lit('"'))).otherwise(two),
-        F.array_join(F.transform(F.slice("w", 3, (F.col("item_id") % 5).cast("int")), lambda x: F.concat(F.lit(" "), x)), ""),
-        F.when(F.col("item_id") % 7 == 1, F.lit(" ?")).otherwise(F.lit("")),
+    """Every turn of a conversation, whole, as a query: bare, quoted, quoted twice in both ways, and with empty quotes."""
+    t = F.trim(F.regexp_replace(F.regexp_replace("text", "[\"']", ""), r"\s+", " "))
+    b = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t"), (F.col("conv_id") % 4).alias("kind"))
+    q = (
+        F.when(F.col("kind") == 0, F.col("t")).when(F.col("kind") == 1, F.concat(F.lit('"'), "t", F.lit('"')))
+        .when(F.col("kind") == 2, F.concat(F.lit("'"), "t", F.lit("' and \""), "t", F.lit('"'))).otherwise(F.concat("t", F.lit(' "" ?')))
     )
     c = intent.column_form(F.col("q"))
-    return b.select("item_id", q.alias("q")).select(
-        "item_id", F.size(c["phrases"]).alias("n_phrases"), c["is_question"].alias("is_question"), F.round(c["semantic"], 6).alias("semantic"),
+    return b.select("conv_id", "turn", q.alias("q")).select(
+        "conv_id", "turn", F.size(c["phrases"]).alias("n_phrases"), c["is_question"].alias("is_question"), F.round(c["semantic"], 6).alias("semantic"),
         F.round(c["bm25"], 6).alias("bm25"), c["use_semantic"].alias("use_semantic"),
     )
 
@@ -382,13 +394,27 @@ def graduated_weight(spark, sf_dir):
 # display
 
 
-@query(
-    r"SELECT doc_id, regexp_replace(replace(text, '*', '\*'), '(?i)\b(?:of the|that|with)(?:es|s)?\b', '**\0**', 'g') AS marked FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\x00-\x7F]*$')"
-)
+#: What ``\b`` lies between, in Java's Unicode sense.
+WORD_CLASS = r"\p{L}\p{Nl}\p{Nd}\p{M}\p{Pc}\x{200c}\x{200d}"
+
+
+#: An alternation that no word matches.
+NOTHING = r"\x00"
+
+
+def sql_marked(x: str, words: str) -> str:
+    """Highlights of "of the" and of the words of an alternation: over a list of words and what is between them."""
+    pieces = rf"regexp_extract_all(replace({x}, '*', '\*'), '[{WORD_CLASS}]+|[^{WORD_CLASS}]+')"
+    the = "regexp_full_match(lower(coalesce(t[{}], '')), 'the(es|s)?')"
+    opens = "lower(t[i]) = 'of' AND t[i + 1] = ' ' AND " + the.format("i + 2")
+    closes = "i > 2 AND lower(t[i - 2]) = 'of' AND t[i - 1] = ' ' AND " + the.format("i")
+    marked = f"CASE WHEN {opens} THEN '**' || t[i] WHEN {closes} THEN t[i] || '**' WHEN regexp_full_match(lower(t[i]), '({words})(es|s)?') THEN '**' || t[i] || '**' ELSE t[i] END"
+    return f"(SELECT array_to_string(list_transform(range(1, len(t) + 1), lambda i: {marked}), '') FROM (SELECT {pieces} AS t))"
+
+
+@query(f"SELECT doc_id, {sql_marked('text', 'that|with')} AS marked FROM documents")
 def highlight_text(spark, sf_dir):
-    """English documents of ASCII text: the second engine's word borders know no other."""
-    d = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
-    return d.select("doc_id", display.highlight(F.col("text"), ["of the", "that", "with"]).alias("marked"))
+    return table(spark, sf_dir, "documents").select("doc_id", display.highlight(F.col("text"), ["of the", "that", "with"]).alias("marked"))
 
 
 @query("SELECT CAST(pos AS INT) AS pos, term FROM (VALUES (0, 'of the'), (1, 'of'), (2, 'the'), (3, 'that'), (4, 'with'), (5, 'and')) t(pos, term)")
@@ -445,16 +471,22 @@ def slugify_hash(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", display.slug(F.col("text")).alias("slug"))
 
 
-@query("SELECT doc_id, '[\"' || lang || '\",\"' || source || '\"]' AS encoded, lang AS first, CAST(2 AS INT) AS n FROM documents")
+@query("SELECT doc_id, '[\"' || lang || '\",\"' || source || '\"]' AS encoded, lang AS first, CAST(2 AS INT) AS n, CAST(0 AS INT) AS none FROM documents")
 def tags_json_roundtrip(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.array("lang", "source")).alias("encoded"))
-    back = F.from_json("encoded", "array<string>")
-    return d.select("doc_id", "encoded", F.get(back, F.lit(0)).alias("first"), F.size(back).alias("n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", codecs.encode_tags(F.array("lang", "source")).alias("encoded"))
+    back = codecs.decode_tags(F.col("encoded"))
+    return d.select("doc_id", "encoded", F.get(back, F.lit(0)).alias("first"), F.size(back).alias("n"), F.size(codecs.decode_tags(F.lit(""))).alias("none"))
 
 
 @query("SELECT item_id, CAST(unnest(range(len(t))) AS INT) AS pos, trim(unnest(t)) AS tag FROM (SELECT item_id, string_split(text, ',') AS t FROM benchmark)")
 def split_trim_tags(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.transform(F.split("text", ","), lambda x: F.trim(x))).alias("pos", "tag"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(codecs.split_tags(F.col("text"))).alias("pos", "tag"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS encoded, datediff('day', DATE '1970-01-01', o_orderdate::DATE) AS days, CAST(-1 AS BIGINT) AS none FROM orders")
+def iso_dates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", codecs.encode_date(F.col("o_orderdate")).alias("encoded"))
+    return o.select("o_orderkey", "encoded", F.unix_date(codecs.decode_date(F.col("encoded"))).cast("long").alias("days"), F.coalesce(F.unix_date(codecs.decode_date(F.lit("12 May"))), F.lit(-1)).cast("long").alias("none"))
 
 
 @query("SELECT CAST(p AS INT) AS prompt_no, prompt, CAST(m AS INT) AS model_no, model FROM (VALUES (0, 'one'), (1, 'two'), (2, 'three')) a(p, prompt), (VALUES (0, 'small'), (1, 'large')) b(m, model)")
@@ -472,12 +504,38 @@ def fetch_by_ids_ordered(spark, sf_dir):
 
 @query("SELECT doc_id || '_0' AS chunk_id, source AS video_id, text FROM documents WHERE doc_id = 7")
 def point_lookup(spark, sf_dir):
-    return chunks(spark, sf_dir).where(F.col("chunk_id") == "7_0").select("chunk_id", "video_id", "text")
+    return catalog.chunk_by_id(chunks(spark, sf_dir), "7_0").select("chunk_id", "video_id", "text")
+
+
+@query(f"WITH {VIDEOS_SQL} SELECT video_id, title FROM v WHERE blog_url = (SELECT min(blog_url) FROM v)")
+def video_by_blog_url(spark, sf_dir):
+    v = videos(spark, sf_dir)
+    return catalog.video_of_post(v, v.agg(F.min("blog_url")).first()[0]).select("video_id", "title")
+
+
+@query(f"WITH {VIDEOS_SQL} SELECT video_id, title FROM v WHERE video_id IN (SELECT source FROM documents WHERE doc_id IN (0, 1, 2))")
+def videos_by_id(spark, sf_dir):
+    own = [r[0] for r in chunks(spark, sf_dir).where("ordinal in (0, 1, 2)").select("video_id").collect()]  # three rows
+    return catalog.videos_of(videos(spark, sf_dir), own).select("video_id", "title")
+
+
+@query("SELECT DISTINCT source AS blog_url FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es' AND n_chars > 12000)")
+def new_posts(spark, sf_dir):
+    """Sources without a long Spanish document, as posts that aren't known yet."""
+    d = table(spark, sf_dir, "documents")
+    known = d.where("lang = 'es' and n_chars > 12000").select(F.col("source").alias("blog_url")).distinct()
+    return catalog.new_posts(d.select(F.col("source").alias("blog_url")).distinct(), known)
+
+
+@query("SELECT doc_id || '_0' AS chunk_id, source AS video_id FROM documents JOIN embeddings ON vec_id = doc_id")
+def chunks_of_vectors(spark, sf_dir):
+    run = vector_table(spark, sf_dir).withColumn("run_id", F.lit("r"))
+    return catalog.chunks_of_vectors(chunks(spark, sf_dir), run, "r").select("chunk_id", "video_id")
 
 
 @query(f"WITH {VIDEOS_SQL} SELECT doc_id || '_0' AS chunk_id, coalesce(title, '') AS title, coalesce(blog_url, '') AS blog_url FROM documents LEFT JOIN v ON source = v.video_id")
 def video_lookup_left(spark, sf_dir):
-    v = F.broadcast(videos(spark, sf_dir).select("video_id", "title", "blog_url"))  # a row per source
+    v = videos(spark, sf_dir).select("video_id", "title", "blog_url")
     out = chunks(spark, sf_dir).select("chunk_id", "video_id").join(v, "video_id", "left")
     return out.select("chunk_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("blog_url", F.lit("")).alias("blog_url"))
 
@@ -503,9 +561,9 @@ def pending_chunks_anti(spark, sf_dir):
     return catalog.pending(chunks(spark, sf_dir), run, "r").select("ordinal", "chunk_id")
 
 
-@query("SELECT doc_id || '_0' AS chunk_id, source AS video_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es')")
+@query("SELECT doc_id || '_0' AS chunk_id, source AS video_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es' AND n_chars > 12000)")
 def fk_violations(spark, sf_dir):
-    known = table(spark, sf_dir, "documents").where("lang = 'es'").select(F.col("source").alias("video_id")).distinct()
+    known = table(spark, sf_dir, "documents").where("lang = 'es' and n_chars > 12000").select(F.col("source").alias("video_id")).distinct()
     return catalog.orphans(chunks(spark, sf_dir), known).select("chunk_id", "video_id")
 
 
@@ -549,6 +607,11 @@ def promote_run(spark, sf_dir):
     return catalog.promote(runs(spark, sf_dir), "r5").select("run_id", "is_active")
 
 
+@query(f"WITH {RUNS_SQL} SELECT run_id, CAST(dimension AS INT) AS dimension FROM runs WHERE run_id = 'r7'")
+def run_by_id(spark, sf_dir):
+    return catalog.run_by_id(runs(spark, sf_dir), "r7").select("run_id", "dimension")
+
+
 @query(f"WITH {RUNS_SQL} SELECT run_id FROM runs WHERE run_id = 'r3'")
 def active_run(spark, sf_dir):
     return catalog.active_run(runs(spark, sf_dir)).select("run_id")
@@ -577,11 +640,8 @@ def count_distinct_check(spark, sf_dir):
 def multiset_overlap(spark, sf_dir):
     """Share of words that the second half of a text has in common with its first."""
     t = table(spark, sf_dir, "benchmark").select("item_id", text.tokenize(F.col("text")).alias("a")).withColumn("h", F.floor(F.size("a") / 2).cast("int"))
-    sides = t.select("item_id", F.posexplode("a").alias("i", "w"), "h").groupBy("item_id", "w").agg(
-        F.count_if(F.col("i") < F.col("h")).alias("l"), F.count_if(F.col("i") >= F.col("h")).alias("r")
-    )
-    common = sides.groupBy("item_id").agg(F.sum(F.least("l", "r")).alias("s"))
-    return t.join(common, "item_id", "left").select("item_id", F.round(F.coalesce("s", F.lit(0)) / F.greatest(F.size("a") - F.col("h"), F.lit(1)), 6).alias("overlap"))
+    left, right = F.slice("a", F.lit(1), F.col("h")), F.slice("a", F.col("h") + 1, F.size("a"))
+    return t.select("item_id", F.round(chunker.overlap_of(left, right), 6).alias("overlap"))
 
 
 # chunker and parser
@@ -600,7 +660,14 @@ def chunk_slices(spark, sf_dir):
     return d.select("doc_id", F.explode(chunker.slices(F.col("text"), own, 200)).alias("s")).select("doc_id", "s.*")
 
 
-@query()
+SPACE = r"\s\x0b\x85\p{Z}"
+
+
+@query(
+    rf"WITH p AS (SELECT doc_id, regexp_extract_all(text, '(?s)[{SPACE}]*[^{SPACE}].*?(?:[.!?]+(?:[{SPACE}]|\z)|(?:\n\n+|\z))') AS t FROM documents), "
+    "i AS (SELECT doc_id, unnest(range(len(t))) AS pos, unnest(list_transform(t, lambda x: length(x))) AS n FROM p) "
+    "SELECT doc_id, CAST(pos AS INT) AS pos, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS end_char FROM i"
+)
 def segment_offsets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunker.segment_ends(F.col("text"))).alias("pos", "end_char"))
 
@@ -611,15 +678,30 @@ def chunk_borders(spark, sf_dir):
     return out.select("doc_id", F.posexplode("borders").alias("pos", "border"))
 
 
-@query()
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^[{SPACE}]+|[{SPACE}]+\z', '', 'g')"
+
+
+@query(
+    "WITH b AS (SELECT doc_id, lang, source, '**Speaker A:** ' || coalesce(text, '') || chr(10) || chr(10) || '### Summary' || chr(10) || chr(10) || 'Short.' || chr(10) AS t FROM documents), "
+    "h AS (SELECT *, least(instr(t, chr(10) || '### '), coalesce(nullif(instr(t, chr(10) || '## '), 0), length(t))) AS cut FROM b) "
+    f"SELECT doc_id || '.md' AS file_name, 'Post ' || doc_id AS title, '2024-01-01' AS pub_date, lang || '|' || source AS tags, 'v' || doc_id AS youtube_id, "
+    rf"{_strip('substr(t, cut)')} AS summary_markdown, regexp_replace({_strip('left(t, cut - 1)')}, '\*\*(.*?)\*\*', '\1', 'g') AS transcript FROM h"
+)
 def front_matter_parse(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     head = F.concat(F.lit("---\ntitle: \"Post "), F.col("doc_id").cast("string"), F.lit("\"\npubDate: 2024-01-01\ntags: ["), F.col("lang"), F.lit(", "), F.col("source"), F.lit("]\n---\n"))
-    body = F.concat(F.lit("\n### Video\n\n<iframe src=\"https://www.youtube.com/embed/v"), F.col("doc_id").cast("string"), F.lit("?rel=0\"></iframe>\n\n### Transcript\n\n**Speaker A:** "), F.coalesce("text", F.lit("")), F.lit("\n\n### Summary\n\nShort.\n"))
+    body = F.concat(F.lit("\n### Video\n\n<iframe src=\"https://www.youtube.com/embed/v"), F.col("doc_id").cast("string"), F.lit("?rel=0\"></iframe>\n\n#### Transcript notes\n\nNone.\n\n### Transcript\n\n**Speaker A:** "), F.coalesce("text", F.lit("")), F.lit("\n\n### Summary\n\nShort.\n"))
     files = d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"), F.concat(head, body).alias("content"))
-    return posts.parse_posts(files)
+    return posts.parse_posts(files).select(
+        "file_name", "title", codecs.encode_date(F.col("pub_date")).alias("pub_date"), F.array_join("tags", "|").alias("tags"), "youtube_id", "summary_markdown", "transcript"
+    )
 
 
-@query()
+@query(
+    f"WITH {_hybrid_sql()}, {VIDEOS_SQL} SELECT CAST(rank + 1 AS INT) AS number, coalesce(title, '') AS title, printf('%.1f', percentage_score) || '%' AS relevance, '00:00:00' AS timestamp, CAST(0 AS INT) AS progress, "
+    f"{sql_marked('documents.text', NOTHING)} AS body FROM ranked JOIN documents ON ranked.chunk_id = doc_id || '_0' LEFT JOIN v ON documents.source = v.video_id WHERE rank < 4"
+)
 def rendered_results(spark, sf_dir):
-    return rag.render(engine(spark, sf_dir).search(HYBRID, 4), HYBRID)
+    found = engine(spark, sf_dir).search(HYBRID, 4).withColumn("percentage_score", F.round("percentage_score", 4))
+    return rag.render(found, HYBRID)

@@ -1,10 +1,6 @@
-"""Table schemas as DDL strings."""
+"""Schemas of the store's tables, as DDL; the store reads and writes by them."""
 
-VIDEOS = "video_id string, title string, blog_url string, url string, published_date date, tags array<string>, video_length_chars int"
-CHUNKS = "ordinal long, chunk_id string, video_id string, chunk_idx int, text string, summary string, start_char int, end_char int"
+VIDEOS = "video_id string, title string, blog_url string, url string, published_date date, tags array<string>, video_length_chars int, batch int"
+CHUNKS = "ordinal long, chunk_id string, video_id string, chunk_idx int, text string, embed_text string, summary string, start_char int, end_char int"
 EMBEDDINGS = "run_id string, chunk_id string, embedding array<float>"
 RUNS = "run_id string, model_name string, dimension int, created_at timestamp, path string, is_active boolean, notes string"
-POST = (
-    "file_name string, title string, pub_date date, author string, categories array<string>, tags array<string>, "
-    "description string, youtube_id string, summary_markdown string, transcript string"
-)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import shutil
+import subprocess
+from collections.abc import Sequence
 from datetime import datetime
 from pathlib import Path
 
@@ -83,3 +85,20 @@ def capture(engine, query: str, folder: Path, top_k: int = 3) -> Path:
     path = folder / f"{name}.json"
     path.write_text(json.dumps(out, indent=2, default=str))
     return path
+
+
+def commit_of(folder: Path) -> str | None:
+    """The commit that a folder's repository is at; null without one."""
+    got = subprocess.run(["git", "-C", str(folder), "rev-parse", "HEAD"], capture_output=True, text=True, check=False)
+    return got.stdout.strip() if got.returncode == 0 else None
+
+
+def capture_all(engine, queries: Sequence[str], folder: Path, data: str | None = None, top_k: int = 3) -> Path:
+    """``capture`` of every query, and a manifest: when, at which commit, the queries' files, and size and digest of every file in ``data``."""
+    spark = engine.chunks.sparkSession
+    made = [{"query": q, "file": capture(engine, q, folder, top_k).name} for q in queries]
+    frozen = [r.asDict() for r in digests(spark, data).orderBy("name").collect()] if data else []
+    out = {"captured_at": datetime.now().isoformat(), "commit": commit_of(Path(__file__).parent), "top_k": top_k, "queries": made, "data": frozen}
+    path = folder / "manifest.json"
+    path.write_text(json.dumps(out, indent=2))
+    return path

@@ -7,6 +7,7 @@ connection by itself, so tests and offline runs inject their own.
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,21 +29,33 @@ class PermanentError(RuntimeError):
 Post = Callable[..., tuple[int, str]]
 
 
-def payload_of(status: int, body: str) -> dict:
-    """The decoded body, or the error its status or content stands for."""
-    if status == 429 or status >= 500:
-        raise TransientError(f"status {status}: {body[:200]}")
+#: Which answers are worth another attempt, by status and by words of an error in the body.
+RETRY_STATUS = (429, *range(500, 600))
+RETRY_WORDS = re.compile(r"429|busy|overloaded", re.IGNORECASE)
+
+
+def fault_in(status: int, body: str) -> tuple[type[RuntimeError], str] | dict:
+    """What an answer stands for: an error's class and its subject, or the decoded body."""
     if status >= 400:
-        raise PermanentError(f"status {status}: {body[:500]}")
+        return (TransientError if status in RETRY_STATUS else PermanentError), f"status {status}"
     try:
         got = json.loads(body)
-    except ValueError as e:
-        raise PermanentError(f"not JSON: {body[:500]}") from e
-    error = got.get("error") if isinstance(got, dict) else None
-    if error is not None:
-        message, code = (str(error.get("message", error)), error.get("code")) if isinstance(error, dict) else (str(error), None)
-        busy = code == 429 or "429" in message or any(w in message.lower() for w in ("busy", "overloaded"))
-        raise (TransientError if busy else PermanentError)(f"error in the body: {message[:500]}")
+    except ValueError:
+        return PermanentError, "no JSON"
+    told = got.get("error") if isinstance(got, dict) else None
+    if told is None:
+        return got
+    text = str(told.get("message", told)) if isinstance(told, dict) else str(told)
+    again = RETRY_WORDS.search(text) or (isinstance(told, dict) and told.get("code") in RETRY_STATUS[:1])
+    return (TransientError if again else PermanentError), f"error in the body: {text}"
+
+
+def payload_of(status: int, body: str) -> dict:
+    """The decoded body; raises the error that an answer stands for, with the start of the body."""
+    got = fault_in(status, body)
+    if isinstance(got, tuple):
+        kind, subject = got
+        raise kind(f"{subject[:400]} | {body[:400]}")
     return got
 
 
