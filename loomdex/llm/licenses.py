@@ -29,7 +29,7 @@ BASE = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-#: Label, notice, mandatory phrases.
+#: Label, notice or passage of a licence's text, mandatory phrases.
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "free of charge")),
@@ -48,6 +48,18 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that", ("redistribution and use in source and binary forms",)),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
+    # grants and conditions as whole licence texts have them
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("without restriction including without limitation the rights to use copy modify merge publish distribute sublicense",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("for any purpose with or without fee is hereby granted",)),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form must reproduce the above copyright notice",)),
+    ("apache", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work", ("perpetual worldwide non exclusive no charge royalty free irrevocable copyright license",)),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license as published by the free software foundation", "at your option any later version")),
+    ("gpl", "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license is intended to guarantee your freedom", ("take away your freedom to share and change", "gnu general public license")),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", ("origin of this software must not be misrepresented",)),
+    ("mpl", "you may not use this file except in compliance with the mozilla public license exhibit a source code form license notice this source code form is subject to the terms of the mozilla public license", ("mozilla public license",)),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("anyone is free to copy modify publish use compile sell or distribute this software",)),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", ("dedicated the work to the public domain",)),
 )
 SLACK = 3
 #: Bytes of words as they are, A-Z lower-cased, blanks for all others.
