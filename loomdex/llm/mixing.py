@@ -1,6 +1,6 @@
 """Soft-membership mixing: document rates whose expected domain token totals match targets.
 
-Domains are the classes of the labelled table. A naive Bayes classifier, fitted on a
+Domains are the classes of the labelled table. A naive Bayes classifier, fitted and calibrated on a
 bounded hash sample of labelled documents, gives every document a posterior over the domains. Its
 features are the words with the largest class contrast and the document's shape (shares of
 capitals, of marks, and of distinct words, in bins). Rates r minimise
@@ -64,22 +64,23 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     )
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int, top: int) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
-    """(log prior by domain, log lift of a present feature by domain), for ``top`` features.
-
-    Absent features say nothing: common words of one language must not speak against another.
-
-    At most about ``sample`` labelled documents are used (a hash sample of the ids, drawn from all).
-    """
-    spark = documents.sparkSession
+def labelled_bags(documents: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(domain, __bag) of about ``sample`` labelled documents at most, a hash sample of the ids drawn from all; stashed."""
     known = domain_labels(labels)
-    n = known.count()
-    part = min(1.0, sample / max(1, n))
+    part = min(1.0, sample / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
     chosen = stash(chosen, "labelled")
-    # at most about ``sample`` ids. explode_outer: explode would infer a filter on __bag and evaluate it again below
-    bags = with_features(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", F.explode_outer("__bag").alias("f"))
-    per = stash(bags.groupBy("domain", "f").agg(F.count("*").alias("c")), "features")
+    # at most about ``sample`` ids
+    return stash(with_features(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", "__bag"), "bags")
+
+
+def fit(bags: DataFrame, top: int) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
+    """(log prior by domain, log lift of a present feature by domain), for ``top`` features of (domain, __bag).
+
+    Absent features say nothing: common words of one language must not speak against another.
+    """
+    spark = bags.sparkSession
+    per = stash(bags.select("domain", F.explode("__bag").alias("f")).groupBy("domain", "f").agg(F.count("*").alias("c")), "features")
     # every document has one word for its marks
     docs = {r[0]: r[1] for r in per.where(F.col("f").startswith(" marks")).groupBy("domain").agg(F.sum("c")).collect()}
     if not docs:
@@ -104,20 +105,67 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int, top: int) -> tuple
     return base, present
 
 
+def calibrated(
+    bags: DataFrame, base: dict[str, float], present: dict[str, dict[str, float]], rounds: int = 50
+) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
+    """``base`` and ``present`` with all evidence scaled by one factor and the domains shifted, so that the labels are likeliest.
+
+    Features that go together make naive Bayes too sure. Afterwards the sample's mean posterior of a domain is the domain's share.
+    Newton steps over the posteriors of the sample, on the driver.
+    """
+    if not base:
+        return base, present
+    domains = sorted(base)
+    rows = scored(bags, base, present, domains).select("domain", "post").collect()  # the bounded sample
+    z = np.log(np.maximum(np.array([r["post"] for r in rows]), 1e-300))
+    y = np.array([[r["domain"] == d for d in domains] for r in rows], float)
+    n, k = z.shape
+    at = np.concatenate([np.zeros(k), [1.0]])  # shifts, factor
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        s = z * x[k] + x[:k]
+        s -= s.max(axis=1, keepdims=True)
+        p = np.exp(s)
+        p /= p.sum(axis=1, keepdims=True)
+        return float(-(y * np.log(np.maximum(p, 1e-300))).sum() / n), p
+
+    value, p = loss(at)
+    for _ in range(rounds):
+        slope = np.concatenate([(p - y).mean(axis=0), [((p - y) * z).sum() / n]])
+        mixed = (p * z) - p * (p * z).sum(axis=1, keepdims=True)
+        curve = np.empty((k + 1, k + 1))
+        curve[:k, :k] = np.diag(p.mean(axis=0)) - p.T @ p / n
+        curve[k, :k] = curve[:k, k] = mixed.mean(axis=0)
+        curve[k, k] = (mixed * z).sum() / n
+        move, share = np.linalg.solve(curve + 1e-9 * np.eye(k + 1), slope), 1.0
+        while share > 1e-6 and (got := loss(at - share * move))[0] > value:
+            share /= 2
+        if share <= 1e-6 or value - got[0] < 1e-12:
+            break
+        at = at - share * move
+        value, p = got
+    factor = float(at[k])
+    return {d: factor * base[d] + float(at[i]) for i, d in enumerate(domains)}, {f: {d: factor * x for d, x in w.items()} for f, w in present.items()}
+
+
 def posteriors(documents: DataFrame, base: dict[str, float], present: dict[str, dict[str, float]], domains: list[str]) -> DataFrame:
     """``documents`` with n_tokens and post, an array in the order of ``domains``."""
-    out = with_features(documents)
+    return scored(with_features(documents), base, present, domains).drop("__bag")
+
+
+def scored(bagged: DataFrame, base: dict[str, float], present: dict[str, dict[str, float]], domains: list[str]) -> DataFrame:
+    """``bagged`` with post."""
     if not base:
-        return out.withColumn("post", F.array(*[F.lit(1.0 / len(domains))] * len(domains))).drop("__bag")
+        return bagged.withColumn("post", F.array(*[F.lit(1.0 / len(domains))] * len(domains)))
     names = F.array(*[F.lit(f) for f in present])
     weights = F.create_map(*[x for f, w in present.items() for x in (F.lit(f), F.array(*[F.lit(w[d]) if d in w else F.lit(0.0) for d in domains]))])
     start = F.array(*[F.lit(base[d]) if d in base else F.lit(-1e9) for d in domains])
     hit = F.array_intersect("__bag", names)
     log = F.aggregate(hit, start, lambda acc, f: F.zip_with(acc, F.element_at(weights, f), lambda a, b: a + b))
-    out = out.withColumn("__log", log)
+    out = bagged.withColumn("__log", log)
     lifted = F.transform("__log", lambda x: F.exp(x - F.array_max("__log")))
     out = out.withColumn("__e", lifted)
-    return out.withColumn("post", F.transform("__e", lambda x: x / F.aggregate("__e", F.lit(0.0), lambda a, b: a + b))).drop("__bag", "__log", "__e")
+    return out.withColumn("post", F.transform("__e", lambda x: x / F.aggregate("__e", F.lit(0.0), lambda a, b: a + b))).drop("__log", "__e")
 
 
 def cells_of(soft: DataFrame, width: int) -> DataFrame:
@@ -198,7 +246,8 @@ def mix(
     posteriors are equal. An empty table gives an empty result. Texts are read and scored once and the scores written once,
     with the texts only if ``keep_text``.
     """
-    base, present = fit(documents, labels, sample, top)
+    bags = labelled_bags(documents, labels, sample)
+    base, present = calibrated(bags, *fit(bags, top))
     domains = sorted({*targets, *base})
     whole = sum(targets.values()) or 1.0
     goal = [budget * targets.get(d, 0.0) / whole for d in domains]
