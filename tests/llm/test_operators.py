@@ -180,6 +180,50 @@ def test_a_file_of_all_notices_keeps_all_labels(frequent):
         assert label in licenses.scan(f"{long} gap {notice} gap {long}".encode(), index)[5].split(",")
 
 
+def slow_labels(text, index):
+    """Every template at every place of the text, by the definition."""
+    words = licenses.words_of((text or "").encode())
+    out = set()
+    for t, (label, notice, mandatory) in enumerate(index.templates):
+        own = notice.encode().split()
+        posted = {}
+        for w, where in index.postings.items():
+            at = [p for u, p in where if u == t]
+            if at:
+                posted[w] = at
+        need = max(2, math.ceil(0.6 * len(posted)))
+        for start in range(-len(own), len(words)):
+            votes = sum(any(0 <= start + p < len(words) and words[start + p] == w for p in at) for w, at in posted.items())
+            if votes < need:
+                continue
+            fine = True
+            for phrase in mandatory:
+                parts = phrase.encode().split()
+                own_at = start + notice[: notice.index(phrase)].count(" ")
+                fine &= any(0 <= a and words[a : a + len(parts)] == parts for a in range(own_at - licenses.SLACK, own_at + licenses.SLACK + 1))
+            if fine:
+                out.add(label)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_method_labels_equal_brute_force(seed):
+    r = random.Random(seed)
+    index = licenses.build_index({w: r.randrange(1000) for w in licenses.template_words()}, 1000)
+    for _ in range(12):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            w = r.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(r.choice([0, 0, 1, 2, 4])):  # damaged notices
+                i = r.randrange(len(w))
+                w[i : i + r.randint(0, 2)] = r.choice([[], ["other"], ["license"], w[:2]])
+            parts += [*w[: r.choice([len(w), len(w), len(w) // 2])], *r.choices(["the", "license", "software", "x", "under"], k=r.randint(0, 5))]
+        text = " ".join(parts)
+        base = {label for phrase, label in licenses.BASE if f" {phrase} " in f" {text} "}
+        got = licenses.scan(text.encode(), index)
+        assert set(filter(None, got[5].split(","))) == base | slow_labels(text, index)
+
+
 # 7: simhash
 
 
@@ -670,7 +714,8 @@ def test_posteriors_equal_brute_force(spark, docs_of):
     all_texts = [" ".join(r.choices((own[k] + " the of and").split(), k=r.randint(1, 30))) for k in kinds] + [None, "", "\n", "a b\n", " a\tb ", "Ünïcode ÉTÉ!"]
     d = docs_of(all_texts)
     labels = spark.createDataFrame([(i, *k) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
-    base, present = mixing.fit(d, labels, 6000, 20)
+    sample = mixing.labelled_bags(d, labels, 6000)
+    base, present = mixing.fit(sample, 20)
     names = [f"q{q}t{t}" for q, t in kinds]
     bags = [bag_of(t) for t in all_texts]
     for x in base:
@@ -688,6 +733,26 @@ def test_posteriors_equal_brute_force(spark, docs_of):
         assert row["n_tokens"] == n and row["post"] == pytest.approx(want.tolist(), abs=1e-12)
 
 
+def test_calibration(spark, docs_of):
+    r = random.Random(4)
+    kinds = [r.choices([(1, 0), (0, 0), (0, 1)], [6, 2, 1])[0] for _ in range(300)]
+    words = {(1, 0): "river stone light hill", (0, 0): "buy click offer river", (0, 1): "vile click curse stone"}
+    # words that always go together: naive Bayes counts them as so many pieces of evidence
+    d = docs_of([" ".join(x + y for y in ("", "s", "es", "ing") for x in r.choices(words[k if r.random() < 0.8 else r.choice(kinds)].split(), k=3)) for k in kinds])
+    labels = spark.createDataFrame([(i, *k) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    sample = mixing.labelled_bags(d, labels, 6000)
+    raw = mixing.fit(sample, 40)
+    domains, losses = sorted(raw[0]), []
+    for model in (raw, mixing.calibrated(sample, *raw)):
+        rows = mixing.scored(sample, *model, domains).collect()
+        post = np.array([x["post"] for x in rows])
+        losses.append(-np.mean([np.log(max(1e-300, p[domains.index(x["domain"])])) for x, p in zip(rows, post)]))
+    assert losses[1] < losses[0]
+    share = [np.mean([x["domain"] == n for x in rows]) for n in domains]
+    assert post.mean(axis=0) == pytest.approx(share, abs=1e-4)
+    assert mixing.calibrated(sample, {}, {}) == ({}, {})
+
+
 def test_solver_equals_a_dense_one(spark):
     rng = np.random.default_rng(3)
     post = rng.dirichlet([0.6, 0.3, 0.3], 50)
