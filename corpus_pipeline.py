@@ -38,6 +38,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``.
+
+    Rows are judged one by one, whatever doc_ids they share, null ones included. Null, empty and blank texts are not of quality and
+    go first. Of equal rows one stays. Long texts are kept whole and cut into pieces by packing only. Extra columns pass all
+    stages but the last. An empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
