@@ -20,6 +20,8 @@ from loomdex.config import RetrievalConfig
 from loomdex.functions.text import fast_similarity, quote, tokenize, tokens_of
 
 BUCKETS = 64
+#: Candidates of a phrase that are broadcast.
+FEW = 200_000
 #: Words whose document frequency an index object keeps in mind.
 REMEMBER = 100_000
 
@@ -106,17 +108,21 @@ class LexicalIndex:
         df = self.frequencies(tokens)
         return {t: times * math.log((n + 1) / df[t]) for t, times in Counter(tokens).items() if df[t]}
 
-    def gains(self, weights: dict[str, float]) -> tuple[DataFrame, float]:
-        """((ordinal, gain) of matching documents, score of all others). Scores add up to base + gain."""
+    def gain(self, weights: dict[str, float]) -> tuple[Column, float]:
+        """(what a posting adds to its document's score, score without any posting)."""
         c = self.config
         _, avgdl = self.figures()
-        names = sorted(weights)
         w = F.lit(0.0)
-        for t in names:
+        for t in sorted(weights):
             w = F.when(F.col("term") == t, F.lit(weights[t])).otherwise(w)
         tf = F.col("tf").cast("double")
         gain = w * tf * (c.k1 + 1) / (F.lit(c.k1) * (F.lit(1 - c.b) + F.lit(c.b) * F.col("dl") / F.lit(avgdl or 1.0)) + tf)
-        return self.hits(names).groupBy("ordinal").agg(F.sum(gain).alias("gain")), c.delta * sum(weights[t] for t in names)
+        return gain, c.delta * sum(weights[t] for t in sorted(weights))
+
+    def gains(self, weights: dict[str, float]) -> tuple[DataFrame, float]:
+        """((ordinal, gain) of matching documents, score of all others). Scores add up to base + gain."""
+        gain, base = self.gain(weights)
+        return self.hits(sorted(weights)).groupBy("ordinal").agg(F.sum(gain).alias("gain")), base
 
     def search(self, query: str, k: int) -> DataFrame:
         """(rank, ordinal, chunk_id, score): the best k by score, then ordinal.
@@ -146,28 +152,30 @@ class LexicalIndex:
         df = self.frequencies([*stems, "".join(stems)])
         return min(df[t] for t in stems) + (df["".join(stems)] if len(stems) > 1 else 0)
 
-    def phrase_candidates(self, stems: list[str]) -> DataFrame:
-        """Ordinals of documents with all stems, or with their concatenation as one word."""
+    def phrase_hits(self, stems: list[str], gain: Column) -> DataFrame:
+        """(ordinal, gain) of documents with all stems, or with their concatenation as one word: one pass over their postings."""
         need, merged = sorted(set(stems)), "".join(stems)
         wanted = [*need, merged] if len(stems) > 1 else need
         found = self.hits(wanted).groupBy("ordinal").agg(
-            F.count_if(F.col("term").isin(need)).alias("have"), F.max(F.col("term") == merged).alias("merged")
+            F.count_if(F.col("term").isin(need)).alias("have"), F.max(F.col("term") == merged).alias("merged"), F.sum(gain).alias("gain")
         )
-        return found.where((F.col("have") == len(need)) | (F.lit(len(stems) > 1) & F.col("merged"))).select("ordinal")
+        return found.where((F.col("have") == len(need)) | (F.lit(len(stems) > 1) & F.col("merged"))).select("ordinal", "gain")
+
+    def phrase_candidates(self, stems: list[str]) -> DataFrame:
+        """Ordinals of documents with all stems, or with their concatenation as one word."""
+        return self.phrase_hits(stems, F.lit(0.0)).select("ordinal")
 
     def phrase(self, phrase: str, chunks: DataFrame) -> DataFrame:
         """(ordinal, chunk_id, score) of chunks that hold the phrase, unordered; order by score falling, then ordinal."""
         stems = tokens_of(phrase)
         if not stems:
             return self.docs.where("false").select("ordinal", "chunk_id", F.lit(0.0).alias("score"))
-        text = F.lower("text")
-        found = self.phrase_candidates(stems).join(chunks.select("ordinal", "chunk_id", "text"), "ordinal").where(text.rlike(phrase_pattern(phrase, stems)))
-        weights = self.weights(stems)
-        if not weights:
-            return found.select("ordinal", "chunk_id", F.lit(0.0).alias("score"))
-        gains, base = self.gains(weights)
-        score = F.round(F.lit(base) + F.coalesce("gain", F.lit(0.0)), 6)
-        return found.select("ordinal", "chunk_id").join(gains, "ordinal", "left").select("ordinal", "chunk_id", score.alias("score"))
+        gain, base = self.gain(self.weights(stems))
+        hits = self.phrase_hits(stems, gain)
+        # the index bounds the candidates, so texts need not be shuffled for few of them
+        near = F.broadcast(hits) if self.phrase_bound(phrase) <= FEW else hits
+        found = chunks.select("ordinal", "chunk_id", "text").join(near, "ordinal").where(F.lower("text").rlike(phrase_pattern(phrase, stems)))
+        return found.select("ordinal", "chunk_id", F.round(F.lit(base) + F.coalesce("gain", F.lit(0.0)), 6).alias("score"))
 
     def unknown_terms(self, query: str) -> list[str]:
         """Distinct stems of the query, long enough, in order, that no document has."""

@@ -61,8 +61,9 @@ def reciprocal_rank_fusion(lists: DataFrame, top_k: int, k: int = RetrievalConfi
     A chunk counts once per list, at its best rank; empty lists add neither score nor weight. Ties
     by the first list that has the chunk, and its rank there.
     """
-    once = lists.groupBy("list_no", "weight", "chunk_id").agg(F.min("rank").alias("rank"))
-    total = lists.select("list_no", "weight").distinct().agg(F.sum("weight").alias("total"))  # a row per list
+    # dealt by chunk once: both aggregations, and the second reading for the weights, take it from there
+    once = lists.repartition("chunk_id").groupBy("list_no", "weight", "chunk_id").agg(F.min("rank").alias("rank"))
+    total = once.select("list_no", "weight").distinct().agg(F.sum("weight").alias("total"))  # a row per list
     fused = once.groupBy("chunk_id").agg(
         F.round(F.sum(F.col("weight") / (F.lit(float(k)) + F.col("rank"))), 12).alias("score"), F.min(F.struct("list_no", "rank")).alias("first")
     )

@@ -24,15 +24,29 @@ class SearchEngine(Protocol):
     def search(self, query: str, k: int) -> DataFrame: ...
 
 
+#: Rows of a result whose ids are put into the readers' filters.
+LITERAL = 1000
+
+
 def with_payload(ranked: DataFrame, chunks: DataFrame, videos: DataFrame | None = None) -> DataFrame:
-    """Chunk and video columns for a top-k. Ranked ids without a chunk go; missing videos leave empty titles."""
-    out = chunks.join(F.broadcast(ranked), "chunk_id")
+    """Chunk and video columns for a top-k. Ranked ids without a chunk go; missing videos leave empty titles.
+
+    The top-k is worked out once. Its ids, and those of its videos, go into the filters of the tables' readers, so stored tables are
+    read only where they can hold them; only a top-k of over LITERAL rows is joined instead.
+    """
+    top = ranked.limit(LITERAL + 1).collect()
+    if len(top) > LITERAL:
+        own = chunks.join(F.broadcast(ranked), "chunk_id")
+    else:
+        few = ranked.sparkSession.createDataFrame(top, ranked.schema)
+        own = chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in top])).join(F.broadcast(few), "chunk_id")
     if videos is None:
-        return out.orderBy("rank")
-    own = videos.select("video_id", "title", "blog_url", "url", "video_length_chars")
-    kept = F.broadcast(ranked.select("chunk_id")).join(chunks.select("chunk_id", "video_id"), "chunk_id").select("video_id").distinct()
-    few = own.join(F.broadcast(kept), "video_id", "left_semi")  # top_k videos at most
-    out = out.join(F.broadcast(few), "video_id", "left")
+        return own.orderBy("rank")
+    named = videos.select("video_id", "title", "blog_url", "url", "video_length_chars")
+    if len(top) <= LITERAL:
+        ids = [r[0] for r in own.select("video_id").distinct().collect()]  # as many as the top-k has rows, at most
+        named = F.broadcast(named.where(F.col("video_id").isin(ids)))
+    out = own.join(named, "video_id", "left")
     return out.withColumns({"title": F.coalesce("title", F.lit("")), "blog_url": F.coalesce("blog_url", F.lit(""))}).orderBy("rank")
 
 
@@ -53,7 +67,9 @@ class HybridEngine:
         return global_rank(found, F.desc("score"), "ordinal", bound=self.lexical.phrase_bound(phrase)).select("rank", "chunk_id")
 
     def tiers(self, phrases: list[str]) -> DataFrame:
-        """Phrase tiers of the index's chunks; the index bounds how many there can be."""
+        """Phrase tiers of the index's chunks; the index bounds how many there can be. One phrase's list is both of its tiers."""
+        if len(phrases) == 1:
+            return self.phrase_list(phrases[0]).select(F.explode(F.array(F.lit("ALL"), F.lit("ANY"))).alias("tier"), "rank", "chunk_id")
         return phrase_tiers([self.phrase_list(p) for p in phrases], sum(map(self.lexical.phrase_bound, phrases)))
 
     def ranked(self, query: str, top_k: int | None = None) -> DataFrame:
@@ -73,7 +89,10 @@ class HybridEngine:
         if semantic is not None:
             lists = lists.unionByName(rank_list(semantic, 0, ask.weights["semantic"]))
         if tiers is not None:
-            lists = lists.unionByName(rank_list(tiers.where("tier = 'ALL'"), 2, c.weight_all)).unionByName(rank_list(tiers.where("tier = 'ANY'"), 3, c.weight_any))
+            every = F.col("tier") == "ALL"
+            lists = lists.unionByName(tiers.select(
+                F.when(every, 2).otherwise(3).alias("list_no"), F.when(every, c.weight_all).otherwise(c.weight_any).alias("weight"), "rank", "chunk_id"
+            ))
         return reciprocal_rank_fusion(lists, top_k, c.rrf_k)
 
     def search(self, query: str, top_k: int | None = None) -> DataFrame:

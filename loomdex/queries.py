@@ -15,10 +15,10 @@ from loomdex.config import ChunkerConfig
 from loomdex.functions import codecs, display, text, vectors
 from loomdex.operators import catalog, chunker, vector
 from loomdex.operators.lexical import LexicalIndex, corpus_figures, document_frequencies, postings_of
-from loomdex.operators.ranking import global_rank, percentage_by_top, phrase_tiers, rank_list, reciprocal_rank_fusion
+from loomdex.operators.ranking import global_rank, percentage_by_top, rank_list, reciprocal_rank_fusion
 from loomdex.operators.vector import VectorIndex
 from loomdex.plans import intent, rag
-from loomdex.plans.engine import HybridEngine, with_payload
+from loomdex.plans.engine import HybridEngine
 from loomdex.runtime import reach
 from loomdex.sources import posts
 
