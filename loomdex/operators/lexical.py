@@ -200,8 +200,9 @@ class LexicalIndex:
         each = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(t).alias("asked")) for i, t in enumerate(unknown)]))
         pairs = self.terms.select("term", each.alias("q")).select("term", "q.pos", "q.asked")
         n, m = F.length("term"), F.length("asked")
-        # lengths alone bound the ratio
-        pairs = pairs.where(F.lit(200.0) * F.least(n, m) / (n + m) >= cut).withColumn("score", fast_similarity(F.col("asked"), F.col("term"))).where(F.col("score") >= cut)
+        # letters that the other word lacks are in no common subsequence: that bounds the ratio before any Python runs
+        shared = F.least(n - F.length(F.call_function("translate", "term", "asked", F.lit(""))), m - F.length(F.call_function("translate", "asked", "term", F.lit(""))))
+        pairs = pairs.where(F.lit(200.0) * shared / (n + m) >= cut).withColumn("score", fast_similarity(F.col("asked"), F.col("term"))).where(F.col("score") >= cut)
         best = pairs.groupBy("pos").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("term"))).alias("b"))
         return asked.join(F.broadcast(best), "pos", "left").select("pos", F.col("asked").alias("term"), F.col("b.term").alias("suggestion"), (-F.col("b.s")).alias("score"))
 
