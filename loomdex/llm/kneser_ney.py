@@ -130,8 +130,8 @@ class Model:
     """Sharded tables and the letters of each language."""
 
     letters: dict[str, list[str]]
-    grams: DataFrame  # k, lang, key, p: probability of seen k-grams
-    contexts: DataFrame  # k, lang, ctx, g: weight that context leaves to order k - 1
+    #: of each k: lang, key, ctx, p, g; p is the probability of a seen k-gram, g the weight that its context leaves to order k - 1
+    grams: dict[int, DataFrame]
     order: int = ORDER
 
     def floor(self) -> Column:
@@ -193,7 +193,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
 
     counted = stash(texts.mapInArrow(letters_of, "lang string, c long, n long").groupBy("lang", "c").agg(F.sum("n").alias("n")), "letters")
     letters: dict[str, list[str]] = {}
-    for r in counted.orderBy("lang", F.desc("n"), "c").toLocalIterator():  # the characters of each language: bounded by Unicode
+    for r in counted.orderBy("lang", F.desc("n"), "c").collect():  # the characters of each language: bounded by Unicode
         own = letters.setdefault(r["lang"], [])
         if len(own) < MOST_LETTERS:
             own.append(chr(r["c"]))
@@ -225,8 +225,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     levels = {order: stash(counts, "ngrams")}
     for k in range(order - 1, 0, -1):  # continuation counts: how many symbols precede
         levels[k] = levels[k + 1].groupBy("lang", symbols_below(F.col("key"), k).alias("key")).agg(F.count("*").alias("n"))
-    model = Model(letters, None, None, order)
-    below = None
+    model = Model(letters, {}, order)
     for k in range(1, order + 1):
         c = levels[k]
         kinds = c.groupBy("lang").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in range(1, 5)])
@@ -241,17 +240,12 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
         c = c.withColumn("ctx", context_of(F.col("key")))
         ctx = c.groupBy("lang", "ctx").agg(F.sum("n").alias("t"), (F.sum("d") / F.sum("n")).alias("g"))
         own = c.join(ctx, ["lang", "ctx"])
-        if below is None:
-            p = own.withColumn("lower", model.floor()) if letters else own.withColumn("lower", F.lit(1.0))
+        if k == 1:
+            p = own.withColumn("lower", model.floor() if letters else F.lit(1.0))
         else:
-            p = own.withColumn("suffix", symbols_below(F.col("key"), k - 1)).join(
-                below.select("lang", F.col("key").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"]
-            )
-        below = stash(p.select("lang", "key", ((F.col("n") - F.col("d")) / F.col("t") + F.col("g") * F.col("lower")).alias("p")), f"p{k}")
-        grams = below.select(F.lit(k).alias("k"), "lang", "key", "p")
-        weights = stash(ctx.select(F.lit(k).alias("k"), "lang", "ctx", "g"), f"g{k}")
-        model.grams = grams if model.grams is None else model.grams.unionByName(grams)
-        model.contexts = weights if model.contexts is None else model.contexts.unionByName(weights)
+            lower = model.grams[k - 1].select("lang", F.col("key").alias("suffix"), F.col("p").alias("lower"))
+            p = own.withColumn("suffix", symbols_below(F.col("key"), k - 1)).join(lower, ["lang", "suffix"])
+        model.grams[k] = stash(p.select("lang", "key", "ctx", ((F.col("n") - F.col("d")) / F.col("t") + F.col("g") * F.col("lower")).alias("p"), "g"), f"grams{k}")
     return model
 
 
@@ -260,10 +254,11 @@ def log_probabilities(wanted: DataFrame, model: Model) -> DataFrame:
     need, out = wanted.withColumn("lp", F.lit(0.0)), None
     for k in range(model.order, 0, -1):
         key = symbols_below(F.col("key"), k)
-        p = model.grams.where(F.col("k") == k).select("lang", F.col("key").alias("kk"), "p")
-        got = stash(need.withColumn("kk", key).join(p, ["lang", "kk"], "left"), f"asked{k}")
+        p = model.grams[k].select("lang", F.col("key").alias("kk"), "p")
+        got = need.withColumn("kk", key).join(p, ["lang", "kk"], "left")
+        got = stash(got, f"asked{k}") if k > model.order - 2 else got  # few are left after two orders
         done = got.where("p is not null").select("lang", "key", (F.col("lp") + F.log("p")).alias("lp"))
-        g = model.contexts.where(F.col("k") == k).select("lang", F.col("ctx").alias("cc"), "g")
+        g = model.grams[k].select("lang", F.col("ctx").alias("cc"), "g").distinct()
         need = got.where("p is null").withColumn("cc", context_of(F.col("kk"))).join(g, ["lang", "cc"], "left")
         need = need.select("lang", "key", (F.col("lp") + F.coalesce(F.log("g"), F.lit(0.0))).alias("lp"))
         out = done if out is None else out.unionByName(done)
