@@ -21,6 +21,7 @@ class RetrievalConfig:
     delta: float = 1.0
     min_word: int = 4
     score_cutoff: float = 80.0
+    ascii_edges: bool = False
 
 
 @dataclass(frozen=True)
