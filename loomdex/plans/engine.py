@@ -99,7 +99,7 @@ class HybridEngine:
         return with_payload(self.ranked(query, top_k), self.chunks, self.videos)
 
     def check_query_terms(self, query: str) -> list[tuple[str, str | None]]:
-        return [(r["term"], r["suggestion"]) for r in self.lexical.suggest(query).orderBy("pos").collect()]
+        return [(r["term"], r["suggestion"]) for r in sorted(self.lexical.suggest(query).collect(), key=lambda r: r["pos"])]
 
 
 #: Fixed value: runs of this dimension hold vectors that were pooled from a wider model.
